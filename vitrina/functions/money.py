@@ -40,7 +40,7 @@ def minor_unit_price(text: Column, unit: Column) -> Column:
     """Price given as a whole number of minor units, e.g. "195" with unit 2 is 1.95."""
     number = F.trim(text).try_cast("double")
     number = F.when(~F.isnan(number) & (F.abs(number) != F.lit(float("inf"))), number)
-    return (number / F.pow(F.lit(10.0), F.coalesce(unit, F.lit(2)))).cast(PRICE)
+    return (number / F.pow(F.lit(10.0), F.coalesce(unit, F.lit(2)))).try_cast(PRICE)
 
 
 def round_half_up(col: Column) -> Column:
@@ -55,7 +55,7 @@ def group_digits(whole: Column, lang: str = "es") -> Column:
 
 def price_label(col: Column, lang: str = "es") -> Column:
     """"$" and the rounded amount, null for an unknown price."""
-    return F.concat(F.lit("$"), group_digits(round_half_up(col.cast(PRICE)), lang))
+    return F.concat(F.lit("$"), group_digits(round_half_up(col.try_cast(PRICE)), lang))
 
 
 def price_or_dash(col: Column, lang: str = "es") -> Column:

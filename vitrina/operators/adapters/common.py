@@ -49,7 +49,7 @@ def as_products(df: DataFrame, platform: str, **columns: Column) -> DataFrame:
     columns = {"store_id": F.col("store_id"), "platform": F.lit(platform), **columns}
     return df.select(
         *[
-            columns.get(name, F.lit(None)).cast(_TYPES.get(name, "string")).alias(name)
+            columns.get(name, F.lit(None)).try_cast(_TYPES.get(name, "string")).alias(name)
             for name in PRODUCT_COLUMNS
         ]
     )

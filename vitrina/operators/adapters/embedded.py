@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vitrina.functions.media import resolve_image
 from vitrina.functions.money import drop_zero_cents, price_or_dash
@@ -33,7 +34,8 @@ _QUOTED = {q: re.compile(rf"(?:[^{q}\\]|\\.)*{q}", re.DOTALL) for q in "\"'"}
 _DIV = re.compile(r"<(/?)div\b[^>]*>", re.IGNORECASE)
 _DESCRIPTION = re.compile(r"<div[^>]*product-description[^>]*>", re.IGNORECASE)
 
-PIECES = "product_id string, product_json string, variants_json string, description_html string"
+PIECES = ["product_id", "product_json", "variants_json", "description_html"]
+PIECES_TYPE = T.StructType([T.StructField(name, T.StringType()) for name in PIECES])
 
 
 def bracketed(text: str, start: int) -> str | None:
@@ -87,11 +89,10 @@ def _cut(html: str) -> tuple:
     return (product_id, product, variants, description_block(html))
 
 
-@F.pandas_udf(PIECES)
+@F.pandas_udf(PIECES_TYPE)
 def cut_pieces(html: pd.Series) -> pd.DataFrame:
     """Cut the embedded blocks out of each page; everything else is done on columns."""
-    names = [part.split()[0] for part in PIECES.split(", ")]
-    return pd.DataFrame([_cut(page) for page in html], columns=names)
+    return pd.DataFrame([_cut(page) for page in html], columns=PIECES)
 
 
 # Keeps the optimizer from pushing filters below the call and so making it twice.

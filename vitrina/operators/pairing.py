@@ -7,13 +7,15 @@ giving the product's place in its snapshot.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitrina.operators.ordering import rank_in_blocks
 
 PRODUCT_KEY = ["store_id", "product_id"]
 CELL_KEY = [*PRODUCT_KEY, "snap_ord"]
+# More than any bigint position.
+HISTORY_STRIDE = 10**19
 
 
 def number_snapshots(snapshots: DataFrame) -> DataFrame:
@@ -27,14 +29,25 @@ def number_snapshots(snapshots: DataFrame) -> DataFrame:
     ).withColumn("snap_ord", F.col("snap_ord").cast("int"))
 
 
+def history_place() -> Column:
+    """Place of a row in its store's history, snapshot first, as one sortable number.
+
+    A number and not a struct, because Spark hash-aggregates numbers but sorts its
+    input to aggregate structs.
+    """
+    stride = F.lit(str(HISTORY_STRIDE)).cast("decimal(20,0)")
+    return F.col("snap_ord").cast("decimal(10,0)") * stride + F.col("pos")
+
+
 def last_rows(observations: DataFrame, *columns: str) -> DataFrame:
     """One row per product and snapshot: the last one listed wins.
 
     `max_by` combines in the map tasks, so a product id repeated without end costs
     one row per task.
     """
-    kept = F.max_by(F.struct(*columns), F.col("pos")).alias("_last")
-    return observations.groupBy(*CELL_KEY).agg(kept).select(*CELL_KEY, "_last.*")
+    return observations.groupBy(*CELL_KEY).agg(
+        *[F.max_by(name, "pos").alias(name) for name in columns]
+    )
 
 
 def matched_pairs(observations: DataFrame) -> DataFrame:

@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from vitrina.functions.dates import days_between
 from vitrina.functions.money import round_half_up
 from vitrina.functions.text import blank_to_null
-from vitrina.operators.pairing import PRODUCT_KEY
+from vitrina.operators.pairing import PRODUCT_KEY, history_place
 
 
 def product_facts(observations: DataFrame) -> DataFrame:
     """Latest name, first and last known stock of every product, in one pass."""
-    at = F.struct("snap_ord", "pos")
+    at = history_place()
     known = F.when(F.col("stock").isNotNull(), at)
     return (
         observations.groupBy(*PRODUCT_KEY)
@@ -28,7 +28,7 @@ def product_facts(observations: DataFrame) -> DataFrame:
 
 def product_totals(deltas: DataFrame) -> DataFrame:
     """Units, revenue and restocks per product, with the place of the first of each."""
-    at = F.struct("snap_ord", "pos")
+    at = history_place()
     return deltas.groupBy(*PRODUCT_KEY).agg(
         F.sum("sold").alias("sold"),
         F.sum("revenue").alias("revenue"),

@@ -101,8 +101,8 @@ def product_totals(spark, sf):
             "sold",
             "revenue",
             "restocked",
-            F.col("first_sale.snap_ord").alias("first_sale_in"),
-            F.col("first_restock.snap_ord").alias("first_restock_in"),
+            F.floor(F.col("first_sale") / 1e19).cast("bigint").alias("first_sale_in"),
+            F.floor(F.col("first_restock") / 1e19).cast("bigint").alias("first_restock_in"),
         )
     )
 
