@@ -21,6 +21,7 @@ from vitrina.operators.adapters.common import (
     as_products,
     no_variants,
 )
+from vitrina.operators.rows import keep_computed
 
 
 def _meta(*keys: str):
@@ -48,11 +49,8 @@ def structured_products(pages: DataFrame) -> DataFrame:
         .withColumn("high", F.coalesce(F.array_max(prices), F.col("og_price")))
     )
     # A price alone decides: without a product node it can only come from Open Graph.
-    # Inlining a one-row array drops the other pages and, unlike a filter, is not
-    # pushed below the extraction, which would then run twice per page.
     columns = ["store_id", "url", "html", "nodes", "og_title", "node", "offers", "low", "high"]
-    kept = F.when(F.col("low").isNotNull(), F.array(F.struct(*columns)))
-    products = read.select(F.inline(kept))
+    products = keep_computed(read.select(*columns), F.col("low").isNotNull())
 
     name = F.coalesce(
         blank_to_null(strip_tags(jsonld.text_field(node, "$.name"))),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from vitrina.functions.text import WS, blank_to_null
 from vitrina.operators.pairing import number_snapshots
+from vitrina.operators.rows import keep_computed
 from vitrina.schemas import SNAPSHOT_DOCUMENT
 
 # Fixed value: the element of an HTML report that carries its dataset.
@@ -111,13 +112,14 @@ def parse_documents(documents: DataFrame) -> DataFrame:
 
 
 def flatten_products(parsed: DataFrame) -> DataFrame:
-    """One row per listed product, keeping its place in the document."""
+    """One row per product of the faultless documents, keeping its place in the document."""
+    listed = F.when(F.size("errors") == 0, F.col("products"))
     return parsed.select(
         "store_id",
         "snapshot_id",
         "scraped_at",
         "part",
-        F.posexplode("products").alias("index", "product"),
+        F.posexplode(listed).alias("index", "product"),
     ).select(
         "store_id",
         "snapshot_id",
@@ -149,9 +151,11 @@ def load_snapshots(documents: DataFrame) -> SnapshotTables:
         F.sum("n_products").alias("n_products"),
     )
     snapshots = number_snapshots(headers.where(F.col("worst") == 0).drop("worst"))
-    rejects = parsed.where(F.size("errors") > 0).select("store_id", "source_file", "errors")
+    rejects = keep_computed(
+        parsed.select("store_id", "source_file", "errors"), F.size("errors") > 0
+    )
     observations = (
-        flatten_products(parsed.where(F.size("errors") == 0))
+        flatten_products(parsed)
         .drop("scraped_at")
         .join(snapshots.select(*key, "snap_ord", "scraped_at"), key)
     )

@@ -23,8 +23,9 @@ def arriving_documents(spark: SparkSession, path: str, max_files: int = 10_000)
 
 def append_arrivals(documents: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
     """Valid documents' product rows into the table; snapshot numbers come at comparison."""
-    valid = parse_documents(documents).where(F.size("errors") == 0)
-    rows = flatten_products(valid).withColumn("snapshot_date", F.to_date("scraped_at"))
+    rows = flatten_products(parse_documents(documents)).withColumn(
+        "snapshot_date", F.to_date("scraped_at")
+    )
     return (
         rows.writeStream.format("parquet")
         .option("checkpointLocation", checkpoint)

@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from workload.snapshots import table
+from vitrina.operators.catalog import build_catalog
+from workload.snapshots import table, written_once
 
 # Columns shared by the Spark fixtures and, in SQL form, by their counterparts.
 PART_COLUMNS = [
@@ -175,3 +176,36 @@ def structured_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts(spark, sf_dir, 3).selectExpr(
         "store_id", "base", "concat(base, '/p/g-', pk, '/') AS url", f"{html} AS html"
     )
+
+
+def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored catalog of all twenty stores, from all four kinds of capture."""
+
+    def build() -> DataFrame:
+        return build_catalog(
+            {
+                "shopify": shopify_feeds(spark, sf_dir),
+                "woocommerce": woocommerce_feeds(spark, sf_dir),
+                "tiendanube": embedded_pages(spark, sf_dir),
+                "generic": structured_pages(spark, sf_dir),
+            }
+        )
+
+    return written_once(spark, sf_dir, "catalog", build)
+
+
+def stores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is known of each store besides its products."""
+    name = F.when(F.col("store") % 2 == 0, "Marketing name of shop ").otherwise("S")
+    return (
+        table(spark, sf_dir, "part")
+        .select((F.col("p_partkey") % 20).alias("store"))
+        .distinct()
+        .select(
+            F.col("store").cast("string").alias("store_id"),
+            F.concat(name, F.col("store").cast("string")).alias("brand"),
+            F.when(F.col("store") % 3 != 0, "shopify").alias("platform"),
+            F.concat(F.lit("https://s"), "store", F.lit(".example.com")).alias("source"),
+            F.expr("timestampadd(DAY, store, timestamp'2026-08-01 12:30:00')").alias("scraped_at"),
+        )
+    )

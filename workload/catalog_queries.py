@@ -12,6 +12,7 @@ from vitrina.operators.adapters import (
     structured_products,
     woocommerce_products,
 )
+from vitrina.operators.ordering import rank_within
 from workload import captures
 from workload.captures import PART_SQL, money
 from workload.sales_queries import tidy
@@ -85,6 +86,67 @@ def structured_normalize(spark, sf):
     return flat(_structured(spark, sf))
 
 
+def catalog_union(spark, sf):
+    return tidy(
+        captures.catalog(spark, sf).select("store_id", "platform", "id", "name", "price", "url")
+    )
+
+
+def feed_fallback(spark, sf):
+    """WooCommerce stores 1, 9, 17 lost their feed; the pages of all such stores exist."""
+    feeds = _woocommerce(spark, sf).where(~F.col("store_id").isin("1", "9", "17"))
+    pages = captures.parts(spark, sf, 1).selectExpr(
+        "store_id",
+        "concat(base, '/p/', pk) AS url",
+        "concat('<meta property=\"og:title\" content=\"', name, '\">',"
+        " '<meta property=\"og:price:amount\" content=\"', p, ',50\">') AS html",
+    )
+    rows = catalog.feed_or_pages(feeds, structured_products(pages))
+    return tidy(rows.select("store_id", "platform", "id", "price"))
+
+
+def first_products(spark, sf):
+    rows = catalog.first_products(captures.catalog(spark, sf), 20)
+    return rows.select("store_id", "id")
+
+
+def catalog_order(spark, sf):
+    rows = rank_within(
+        captures.catalog(spark, sf), ["store_id"], catalog.catalog_order(), "place"
+    )
+    return catalog.listing(rows).select("store_id", "place", "id", "name", "available")
+
+
+def catalog_currency(spark, sf):
+    return catalog.catalog_currency(captures.catalog(spark, sf))
+
+
+def catalog_summary(spark, sf):
+    return tidy(catalog.catalog_summary(captures.catalog(spark, sf)))
+
+
+def store_brands(spark, sf):
+    """Stores 0, 3, 6 … sell mostly one brand; it wins where the page's name is longer."""
+    own = (F.col("store_id") % 3 == 0) & (F.col("id").try_cast("bigint") % 3 != 0)
+    products = captures.catalog(spark, sf).withColumn(
+        "brand", F.when(own, "Mainbrand").otherwise(F.col("brand"))
+    )
+    return tidy(catalog.store_brands(captures.stores(spark, sf), products))
+
+
+def catalog_labels(spark, sf):
+    return catalog.grid(captures.catalog(spark, sf))
+
+
+def catalog_labels_english(spark, sf):
+    rows = catalog.grid(captures.catalog(spark, sf), "en")
+    return rows.select("store_id", "id", "price_label", "category", "full_category")
+
+
+def variant_detail(spark, sf):
+    return tidy(catalog.variant_detail(captures.catalog(spark, sf)))
+
+
 SHOPIFY = f"""shopify AS (
   SELECT store_id, CAST(pk AS VARCHAR) AS id, name || ' "' || pk || '"' AS name, brand,
          base || '/products/h-' || pk AS url, CASE WHEN k % 9 = 0 THEN '' ELSE type END AS crumbs,
@@ -179,11 +241,112 @@ STRUCTURED = f"""structured AS (
         FROM c) WHERE pk % 4 = 3 AND k % 6 <> 4
 )"""
 
+CATALOG = f"""
+WITH {PART_SQL}, {SHOPIFY}, {WOOCOMMERCE}, {EMBEDDED}, {STRUCTURED}, catalog AS (
+  SELECT 'shopify' AS platform, * FROM shopify UNION ALL
+  SELECT 'woocommerce', * FROM woocommerce UNION ALL
+  SELECT 'tiendanube', * FROM embedded UNION ALL
+  SELECT 'generic', * FROM structured
+), placed AS (
+  SELECT catalog.*, CASE WHEN platform IN ('shopify', 'woocommerce') THEN CAST(id AS BIGINT) END
+    AS pos FROM catalog
+)
+"""
+
+
+def rounded(value: str) -> str:
+    return money(f"floor({value} + 0.5)")
+
+
+def _grid(lang: str) -> str:
+    home = "Home" if lang == "en" else "Inicio"
+
+    def fmt(value: str) -> str:
+        label = rounded(value)
+        return label.replace(", ',', '.')", ", ',', ',')") if lang == "en" else label
+
+    path = f"replace(CASE WHEN crumbs = '' THEN '{home}' ELSE crumbs END, '|', ' › ')"
+    return f"""
+    CASE WHEN min_price <> max_price THEN {fmt('min_price')} || ' – ' || {fmt('max_price')}
+         ELSE price_short END AS price_label,
+    CASE WHEN crumbs = '' THEN name ELSE {path} || ' › ' || name END AS category,
+    {path} || ' › ' || name AS full_category"""
+
+
 SQL = {
     "shopify_normalize": f"WITH {PART_SQL}, {SHOPIFY} SELECT * FROM shopify",
     "woocommerce_normalize": f"WITH {PART_SQL}, {WOOCOMMERCE} SELECT * FROM woocommerce",
     "embedded_normalize": f"WITH {PART_SQL}, {EMBEDDED} SELECT * FROM embedded",
     "structured_normalize": f"WITH {PART_SQL}, {STRUCTURED} SELECT * FROM structured",
+    "catalog_union": CATALOG + "SELECT store_id, platform, id, name, price, url FROM catalog",
+    "feed_fallback": f"""WITH {PART_SQL}
+    SELECT store_id, CASE WHEN store_id IN ('1', '9', '17') THEN 'generic' ELSE 'woocommerce' END
+      AS platform, CAST(pk AS VARCHAR) AS id,
+      CAST(p AS DOUBLE) + CASE WHEN store_id IN ('1', '9', '17') THEN 0.5 ELSE 0 END AS price
+    FROM c WHERE pk % 4 = 1""",
+    "first_products": CATALOG
+    + """SELECT store_id, id FROM placed QUALIFY
+    row_number() OVER (PARTITION BY store_id ORDER BY pos, url) <= 20""",
+    "catalog_order": CATALOG
+    + """SELECT store_id, id, name, available, row_number() OVER (PARTITION BY store_id
+    ORDER BY available DESC, name, pos, url, id) AS place FROM placed""",
+    "catalog_currency": CATALOG
+    + """SELECT store_id, arg_min(currency, CASE WHEN pos IS NULL THEN url
+      ELSE printf('%012d', pos) END) FILTER (WHERE currency IS NOT NULL) AS currency
+    FROM placed GROUP BY 1""",
+    "catalog_summary": CATALOG
+    + """SELECT store_id, count(*) AS products, sum(stock_total) AS stock_total,
+    count(stock_total) AS stock_known, count(*) FILTER (WHERE available) AS available_n,
+    count(*) FILTER (WHERE NOT available) AS sold_out_n, min(min_price) AS min_price,
+    max(max_price) AS max_price, arg_min(currency, CASE WHEN pos IS NULL THEN url
+      ELSE printf('%012d', pos) END) FILTER (WHERE currency IS NOT NULL) AS currency
+    FROM placed GROUP BY 1""",
+    "store_brands": CATALOG
+    + """, b AS (
+    SELECT store_id, CASE WHEN CAST(store_id AS INT) % 3 = 0
+      AND TRY_CAST(id AS BIGINT) % 3 <> 0 THEN 'Mainbrand' ELSE brand END AS brand,
+      CASE WHEN pos IS NULL THEN url ELSE printf('%012d', pos) END AS seen FROM placed
+    ), v AS (
+    SELECT store_id, brand, count(*) AS votes FROM b WHERE brand <> '' GROUP BY 1, 2
+    ), t AS (
+    SELECT store_id, brand AS top_brand, votes FROM v
+    JOIN (SELECT store_id, brand, min(seen) AS seen FROM b GROUP BY 1, 2) USING (store_id, brand)
+    QUALIFY row_number() OVER (PARTITION BY store_id ORDER BY votes DESC, seen) = 1
+    ), s AS (
+    SELECT DISTINCT store_id, CASE WHEN CAST(store_id AS INT) % 2 = 0
+      THEN 'Marketing name of shop ' ELSE 'S' END || store_id AS name FROM c
+    )
+    SELECT s.store_id, CASE WHEN votes >= greatest(5,
+        (SELECT count(*) FROM b WHERE b.store_id = s.store_id) / 2)
+      AND length(top_brand) < length(name) THEN top_brand ELSE name END AS brand, top_brand, votes
+    FROM s LEFT JOIN t USING (store_id)""",
+    "catalog_labels": CATALOG
+    + f"""SELECT store_id, id, name, {_grid('es')},
+    CASE WHEN NOT available AND stock_total IS NULL THEN 'soldOut'
+         WHEN NOT available THEN 'outOfStock' WHEN stock_total IS NULL THEN 'available'
+         ELSE 'Stock: ' || CAST(stock_total AS BIGINT) END AS badge,
+    CASE WHEN length(description) > 150 THEN rtrim(substr(description, 1, 150)) || '…'
+         ELSE description END AS summary FROM catalog""",
+    "catalog_labels_english": CATALOG + f"SELECT store_id, id, {_grid('en')} FROM catalog",
+    "variant_detail": f"""WITH {PART_SQL}
+    SELECT store_id, CAST(pk AS VARCHAR) AS id, CAST(0 AS BIGINT) AS place,
+      CASE WHEN k % 7 = 0 THEN '—' WHEN k % 2 = 0 THEN 'S / Red' ELSE 'S' END AS size,
+      'A' || pk AS sku, CAST(NULL AS DOUBLE) AS stock, true AS is_out, size % 2 = 0 AS available,
+      {money('p + CASE WHEN k % 3 = 0 THEN 1000 ELSE 0 END')} AS price_short,
+      CASE WHEN k % 3 = 0 THEN {money('p')} ELSE '—' END AS promo_short,
+      CASE WHEN k % 3 = 0 THEN {money('p + 1000')} ELSE '—' END AS compare_short
+    FROM c WHERE pk % 4 = 0
+    UNION ALL
+    SELECT store_id, CAST(pk AS VARCHAR), 1, 'M', '—', NULL, true, size % 3 = 0,
+      {money('p + 51')}, '—', '—' FROM c WHERE pk % 4 = 0 AND k % 7 <> 0
+    UNION ALL
+    SELECT store_id, CAST(pk AS VARCHAR), 0, 'S', 'T' || pk, size, size = 0, true, {money('p')},
+      CASE WHEN k % 2 = 0 THEN '$1.500,50' ELSE '—' END, '—'
+    FROM c WHERE pk % 4 = 2 AND k % 11 <> 10 AND k % 13 <> 12 AND k % 6 <> 5
+    UNION ALL
+    SELECT store_id, CAST(pk AS VARCHAR), 1, '—', '—', CASE WHEN k % 3 <> 0 THEN 2 END,
+      k % 3 = 0, false, {money('p')}, '—', '$99.000'
+    FROM c WHERE pk % 4 = 2 AND k % 11 <> 10 AND k % 13 <> 12 AND k % 6 <> 5""",
 }
 
 QUERIES = {name: globals()[name] for name in SQL}
