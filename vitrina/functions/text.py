@@ -122,7 +122,8 @@ def normalize_url(col: Column) -> Column:
 
 
 def url_origin(url: Column) -> Column:
-    return F.lower(F.regexp_extract(url, r"(?i)^(https?://[^/?#]+)", 1))
+    origin = F.lower(F.regexp_extract(url, r"(?i)^(https?://[^/?#]+)", 1))
+    return F.regexp_replace(origin, r"^(https://.*):443$|^(http://.*):80$", "$1$2")
 
 
 def url_host(url: Column) -> Column:

@@ -30,7 +30,7 @@ CRUMBS_SPAN = 900
 OPTION_NAME = "Talle"
 
 _STRUCTURE = re.compile(r"""["'{}\[\]]""")
-_QUOTED = {q: re.compile(rf"(?:[^{q}\\]|\\.)*{q}", re.DOTALL) for q in "\"'"}
+_QUOTED = {q: re.compile(rf"[^{q}\\]*(?:\\.[^{q}\\]*)*{q}", re.DOTALL) for q in "\"'"}
 _DIV = re.compile(r"<(/?)div\b[^>]*>", re.IGNORECASE)
 _DESCRIPTION = re.compile(r"<div[^>]*product-description[^>]*>", re.IGNORECASE)
 

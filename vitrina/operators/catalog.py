@@ -13,6 +13,7 @@ from vitrina.functions.pages import GENERIC, platform_sign
 from vitrina.functions.text import blank_to_null, truncate
 from vitrina.operators.adapters import ADAPTERS
 from vitrina.operators.ordering import first_n
+from vitrina.operators.rows import join_stores
 
 GRID_DESCRIPTION = 150
 MIN_VOTES = 5
@@ -37,12 +38,13 @@ def build_catalog(captures: dict[str, DataFrame]) -> DataFrame:
 def feed_or_pages(feed_products: DataFrame, page_products: DataFrame) -> DataFrame:
     """Feed products; stores whose feed gave none use what their pages say."""
     served = feed_products.select("store_id").distinct()
-    return feed_products.unionByName(page_products.join(served, "store_id", "left_anti"))
+    unserved = join_stores(page_products, served, ["url"], "left_anti")
+    return feed_products.unionByName(unserved)
 
 
 def first_products(products: DataFrame, limit: int) -> DataFrame:
     """The first products of each store in capture order."""
-    order = [F.col("pos").asc_nulls_last(), F.col("url")]
+    order = [F.col("pos").asc_nulls_last(), F.col("url"), F.col("id")]
     return first_n(products, ["store_id"], order, limit).drop("rank")
 
 

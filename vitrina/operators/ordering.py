@@ -19,6 +19,14 @@ from vitrina.session import cut_lineage
 def first_n(
     df: DataFrame, group: Sequence[str], order: Sequence[Column], n: int, into: str = "rank"
 ) -> DataFrame:
+    """The first n rows of each group. `order` must tell all rows of a group apart.
+
+    Spark prunes in the map tasks up to its row-number threshold; longer lists are
+    numbered block by block instead.
+    """
+    prunable = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold"))
+    if n > prunable:
+        return rank_within(df, group, order, into).where(F.col(into) <= n)
     window = Window.partitionBy(*group).orderBy(*order)
     return df.withColumn(into, F.row_number().over(window)).where(F.col(into) <= n)
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitrina.operators.ordering import first_n
-from vitrina.operators.pairing import PRODUCT_KEY, last_rows
+from vitrina.operators.pairing import CELL_KEY, PRODUCT_KEY, last_rows
 
 FIRST = 1
 
@@ -29,6 +29,15 @@ def first_slice(observations: DataFrame) -> DataFrame:
     return observations.where(F.col("snap_ord") == FIRST)
 
 
+def listed_products(rows: DataFrame) -> DataFrame:
+    """Distinct product keys of a slice.
+
+    Counted distinct with the snapshot in the key: the join on the product key then
+    shuffles them again, which lets the adaptive skew join split the other side.
+    """
+    return rows.select(*CELL_KEY).distinct().select(*PRODUCT_KEY)
+
+
 def effective_availability(available: Column, stock: Column) -> Column:
     """The published flag, or what a known stock implies, or unknown."""
     return F.coalesce(available, stock > 0)
@@ -59,7 +68,7 @@ def availability_changes(observations: DataFrame, snapshots: DataFrame) -> DataF
 
 def new_products(observations: DataFrame, snapshots: DataFrame) -> DataFrame:
     """Rows of the last snapshot whose product is not in the first."""
-    seen = first_slice(observations).select(*PRODUCT_KEY)
+    seen = listed_products(first_slice(observations))
     return (
         last_slice(observations, snapshots)
         .join(seen, PRODUCT_KEY, "left_anti")
@@ -75,13 +84,8 @@ def new_products(observations: DataFrame, snapshots: DataFrame) -> DataFrame:
 
 def discontinued_products(observations: DataFrame, snapshots: DataFrame) -> DataFrame:
     """Distinct products of the first snapshot that the last one lacks."""
-    still = last_slice(observations, snapshots).select(*PRODUCT_KEY)
-    return (
-        first_slice(observations)
-        .select(*PRODUCT_KEY)
-        .distinct()
-        .join(still, PRODUCT_KEY, "left_anti")
-    )
+    still = listed_products(last_slice(observations, snapshots))
+    return listed_products(first_slice(observations)).join(still, PRODUCT_KEY, "left_anti")
 
 
 def lifetime_best_sellers(

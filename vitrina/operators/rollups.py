@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitrina.functions.dates import days_between
 from vitrina.functions.money import round_half_up
-from vitrina.functions.text import blank_to_null
+from vitrina.functions.text import blank_to_null, trim
 from vitrina.operators.pairing import PRODUCT_KEY, history_place
 
 
@@ -94,14 +94,18 @@ def store_spans(snapshots: DataFrame) -> DataFrame:
 
 def brand_consistency(snapshots: DataFrame) -> DataFrame:
     """How many different brand names a store's snapshots carry."""
-    brands = snapshots.select(
-        "store_id", F.trim(F.lower("brand")).alias("brand_key")
-    ).distinct()
+    brands = snapshots.select("store_id", trim(F.lower("brand")).alias("brand_key")).distinct()
     return brands.groupBy("store_id").agg(
         F.count(F.lit(1)).alias("n_brands"), (F.count(F.lit(1)) > 1).alias("mixed")
     )
 
 
-def transfer_revenue(revenue):
+def brand_conflicts(snapshots: DataFrame) -> DataFrame:
+    """The names used by stores whose snapshots seem to be of different brands."""
+    mixed = brand_consistency(snapshots).where("mixed")
+    return snapshots.select("store_id", "brand").distinct().join(mixed, "store_id", "left_semi")
+
+
+def transfer_revenue(revenue: Column) -> Column:
     """Revenue when buyers take the usual 10 % transfer discount, whole units."""
     return round_half_up(revenue * F.lit("0.9").cast("decimal(2,1)"))

@@ -211,10 +211,12 @@ def listing(df: DataFrame, kind: str) -> DataFrame:
 def sales_report(
     observations: DataFrame, snapshots: DataFrame, keep_deltas: bool = True
 ) -> dict[str, DataFrame]:
-    """All result tables. The pair deltas feed four of them, so they are kept once."""
-    stores = comparable_stores(snapshots)
-    snapshots = snapshots.join(stores, "store_id", "left_semi")
-    observations = observations.join(stores, "store_id", "left_semi")
+    """All result tables. The pair deltas feed four of them, so they are kept once.
+
+    Only the snapshot list is cut to comparable stores: the other stores have no pairs
+    and no row in the list, so their observations reach no result.
+    """
+    snapshots = snapshots.join(comparable_stores(snapshots), "store_id", "left_semi")
     deltas = pair_deltas(observations)
     if keep_deltas:
         deltas = deltas.persist()
@@ -239,5 +241,5 @@ def sales_report(
         "lifetime_best_sellers": presence.lifetime_best_sellers(
             observations, snapshots, TOP_LIFETIME
         ),
-        "brands": rollups.brand_consistency(snapshots),
+        "brand_conflicts": rollups.brand_conflicts(snapshots),
     }

@@ -9,6 +9,7 @@ from vitrina.functions.dates import output_name
 from vitrina.functions.text import blank_to_null
 from vitrina.operators.catalog import catalog_order, catalog_summary
 from vitrina.operators.ordering import rank_within
+from vitrina.operators.rows import join_stores
 
 SNAPSHOT_KIND = "Scrap"
 REPORT_KIND = "Reporte_Ventas"
@@ -40,11 +41,15 @@ def compact_products(products: DataFrame) -> DataFrame:
     )
 
 
+def snapshot_name() -> Column:
+    return output_name(SNAPSHOT_KIND, F.col("brand"), F.col("scraped_at")).alias("snapshot_id")
+
+
 def snapshot_headers(stores: DataFrame, products: DataFrame) -> DataFrame:
     """`stores(store_id, brand, platform, source, scraped_at)` with name and summary."""
     return stores.join(catalog_summary(products), "store_id").select(
         "store_id",
-        output_name(SNAPSHOT_KIND, F.col("brand"), F.col("scraped_at")).alias("snapshot_id"),
+        snapshot_name(),
         "brand",
         F.coalesce(blank_to_null(F.col("platform")), F.lit(DEFAULT_PLATFORM)).alias("platform"),
         "source",
@@ -59,8 +64,8 @@ def snapshot_headers(stores: DataFrame, products: DataFrame) -> DataFrame:
 
 def snapshot_rows(stores: DataFrame, products: DataFrame) -> DataFrame:
     """Product rows of a new snapshot, for the Parquet table."""
-    headers = snapshot_headers(stores, products).select("store_id", "snapshot_id", "scraped_at")
-    return compact_products(products).join(headers, "store_id")
+    names = stores.select("store_id", snapshot_name(), "scraped_at")
+    return join_stores(compact_products(products), names, ["product_id"])
 
 
 def snapshot_documents(
@@ -109,7 +114,10 @@ def snapshot_documents(
     )
     suffix = F.when(F.col("part") > 0, F.format_string(".part%05d", F.col("part")))
     name = F.concat("snapshot_id", F.coalesce(suffix, F.lit("")), F.lit(".json"))
-    return parts.join(snapshot_headers(stores, products), "store_id").select(
+    # headers meet the documents part by part, so one store's documents stay spread
+    part_keys = ranked.select("store_id", "part").distinct()
+    headers = part_keys.join(snapshot_headers(stores, products), "store_id")
+    return parts.join(headers, ["store_id", "part"]).select(
         "store_id", "snapshot_id", name.alias("source_file"), document.alias("body")
     )
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from vitrina.functions.pages import is_local_product_url, is_product_url
 from vitrina.functions.text import trim
 from vitrina.operators.ordering import first_n
+from vitrina.operators.rows import join_stores
 from vitrina.session import cut_lineage
 
 # Where a sitemap is looked for, and how many documents, child maps and
@@ -110,11 +111,12 @@ def product_urls(listed: DataFrame, bases: DataFrame, sample: int = SAMPLE_PAGES
 
     `bases(store_id, base)` has one row per store.
     """
-    urls = listed.join(bases, "store_id").withColumn(
+    urls = join_stores(listed, bases, ["url"]).withColumn(
         "is_product", is_product_url(F.col("url"), F.col("base"))
     )
     chosen = urls.where("is_product")
-    unclear = urls.join(chosen.select("store_id").distinct(), "store_id", "left_anti")
+    known = chosen.select("store_id").distinct()
+    unclear = join_stores(urls, known, ["url"], "left_anti")
     sampled = first_n(
         unclear.where(F.startswith("url", "base")), ["store_id"], [F.col("listed_at")], sample
     )
