@@ -123,5 +123,15 @@ def snapshot_documents(
 
 
 def write_documents(documents: DataFrame, path: str) -> None:
-    """Line-delimited documents, one folder per store."""
-    documents.write.mode("append").partitionBy("store_id").json(path)
+    """Documents as rows of a Parquet table, which `load_snapshots` takes back as it is."""
+    documents.write.mode("append").parquet(path)
+
+
+def write_document_files(documents: DataFrame, path: str) -> None:
+    """One JSON text file per document, in a folder named after the document."""
+    (
+        documents.select("store_id", "source_file", "body")
+        .write.mode("append")
+        .partitionBy("store_id", "source_file")
+        .text(path)
+    )

@@ -29,16 +29,29 @@ class SnapshotTables:
 
 
 def read_documents(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """One row per file; the folder a file lies in names its store."""
-    raw = spark.read.text(paths, wholetext=True)
-    return with_file_columns(raw)
+    """One row per file under the paths.
+
+    The folder a file lies in names its store, or the `store_id=…/source_file=…`
+    folders that `write_document_files` makes name both.
+    """
+    reader = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true")
+    return with_file_columns(reader.text(paths))
 
 
 def with_file_columns(raw: DataFrame) -> DataFrame:
-    path = F.col("_metadata.file_path")
+    # the path is URL-encoded, but a plus sign in it is a plus sign
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+
+    def folder(name: str) -> Column:
+        return blank_to_null(F.regexp_extract(path, f"/{name}=([^/]+)/", 1))
+
     return raw.select(
-        F.regexp_extract(path, "([^/]+)/[^/]+$", 1).alias("store_id"),
-        F.col("_metadata.file_name").alias("source_file"),
+        F.coalesce(folder("store_id"), F.regexp_extract(path, "([^/]+)/[^/]+$", 1)).alias(
+            "store_id"
+        ),
+        F.coalesce(folder("source_file"), F.regexp_extract(path, "([^/]+)$", 1)).alias(
+            "source_file"
+        ),
         F.col("value").alias("body"),
     )
 

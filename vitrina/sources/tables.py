@@ -1,22 +1,30 @@
-"""The stored form of snapshots: Parquet tables partitioned by store and day."""
+"""The stored form of snapshots: Parquet, one folder per day."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Rows lie sorted by these inside a day, so row-group statistics prune a store or a
+# product without one folder per store.
+CLUSTER = ["snapshot_date", "store_id", "product_id"]
+
+
+def with_day(observations: DataFrame) -> DataFrame:
+    return observations.withColumn("snapshot_date", F.to_date("scraped_at"))
+
 
 def write_observations(observations: DataFrame, path: str, mode: str = "append") -> None:
-    """Rows of one store and day go to several files when there are many of them."""
+    """Range partitions give each day files of even size, also where a store is large."""
     (
-        observations.withColumn("snapshot_date", F.to_date("scraped_at"))
+        with_day(observations)
+        .repartitionByRange(*CLUSTER)
+        .sortWithinPartitions(*CLUSTER)
         .write.mode(mode)
-        .partitionBy("store_id", "snapshot_date")
+        .partitionBy("snapshot_date")
         .parquet(path)
     )
 
 
 def read_observations(spark: SparkSession, path: str) -> DataFrame:
-    rows = spark.read.option("basePath", path).parquet(path).drop("snapshot_date")
-    # partition values are read back typed; a store name is always text
-    return rows.withColumn("store_id", F.col("store_id").cast("string"))
+    return spark.read.parquet(path)

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from vitrina.sources.snapshots import flatten_products, parse_documents, with_file_columns
+from vitrina.sources.tables import with_day
 
 
 def arriving_documents(spark: SparkSession, path: str, max_files: int = 10_000) -> DataFrame:
@@ -23,13 +23,11 @@ def arriving_documents(spark: SparkSession, path: str, max_files: int = 10_000)
 
 def append_arrivals(documents: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
     """Valid documents' product rows into the table; snapshot numbers come at comparison."""
-    rows = flatten_products(parse_documents(documents)).withColumn(
-        "snapshot_date", F.to_date("scraped_at")
-    )
+    rows = with_day(flatten_products(parse_documents(documents)))
     return (
         rows.writeStream.format("parquet")
         .option("checkpointLocation", checkpoint)
-        .partitionBy("store_id", "snapshot_date")
+        .partitionBy("snapshot_date")
         .trigger(availableNow=True)
         .start(table)
     )
