@@ -56,7 +56,8 @@ def reachable_sitemaps(
     None there is no limit.
     """
     known = sitemaps.select("store_id", "url").distinct()
-    children = (
+    # read the index documents once, not once per level
+    children = cut_lineage(
         sitemap_locations(sitemaps)
         .where(F.col("is_index") & F.col("loc").rlike(IS_XML))
         .select("store_id", "url", "place", "loc")

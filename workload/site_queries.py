@@ -14,6 +14,7 @@ from vitrina.sources import sitemaps as maps
 from workload import captures
 from workload.captures import PART_SQL
 from workload.sales_queries import tidy
+from workload.snapshots import written_once
 
 # A leaf lists 50 pages of a store, a middle index 20 leaves.
 LEAF = 50
@@ -57,6 +58,10 @@ def _robots(spark, sf) -> DataFrame:
 
 
 def _sitemaps(spark, sf) -> DataFrame:
+    return written_once(spark, sf, "sitemaps", lambda: _render_sitemaps(spark, sf))
+
+
+def _render_sitemaps(spark, sf) -> DataFrame:
     pages = captures.parts(spark, sf).selectExpr(
         "store_id",
         "base",
