@@ -101,6 +101,16 @@ def test_meta_content(spark):
         for key in ("og:title", "product:price:currency", "none", "og:type")
     ]
     assert found == ["Mi & producto", "ARS", "", None]
+    odd = (
+        '<meta charset="x"><META content="a > b" name="og:title"><p content="no">'
+        "<meta name='og:title' content='later'/><meta property=\"og:type\" content='t'>"
+    )
+    for key, want in (("og:title", "a > b"), ("og:type", "t"), ("x", None)):
+        both = [
+            lambda v, key=key: text.meta_content(v, key),
+            lambda v, key=key: text.meta_content(text.meta_tags(v), key),
+        ]
+        assert [apply(spark, look, [odd])[0] for look in both] == [want, want]
 
 
 def test_urls(spark):

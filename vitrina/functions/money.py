@@ -18,14 +18,9 @@ def parse_price(col: Column) -> Column:
     otherwise every separator groups thousands.
     """
     kept = F.regexp_replace(col, r"[^0-9.,\-]", "")
-    decimal_form = r"^(.*)[.,]([^.,]{1,2})$"
-    whole = F.regexp_replace(F.regexp_extract(kept, decimal_form, 1), "[.,]", "")
-    text = F.when(
-        kept.rlike(decimal_form),
-        F.concat(whole, F.lit("."), F.regexp_extract(kept, decimal_form, 2)),
-    ).otherwise(F.regexp_replace(kept, "[.,]", ""))
-    number = F.regexp_extract(text, r"^-?(?:[0-9]+\.?[0-9]*|\.[0-9]+)", 0)
-    return blank_to_null(number).try_cast(PRICE)
+    marked = F.regexp_replace(kept, "[.,]([^.,]{1,2})$", "#$1")
+    plain = F.translate(F.regexp_replace(marked, "[.,]", ""), "#", ".")
+    return F.regexp_extract(plain, r"^-?(?:[0-9]+\.?[0-9]*|\.[0-9]+)", 0).try_cast(PRICE)
 
 
 def variant_price(value: Column) -> Column:

@@ -118,18 +118,36 @@ def slug(col: Column) -> Column:
     return F.coalesce(blank_to_null(F.regexp_replace(text, "^_+|_+$", "")), F.lit("marca"))
 
 
-def meta_content(html: Column, key: str) -> Column:
-    """Content of the first meta tag with that name or property, attributes in any order.
+def meta_tags(html: Column) -> Column:
+    """The page cut down to its meta tags, for looking up several of them."""
+    tags = F.regexp_extract_all(
+        html, F.lit(r"""(?i)<meta[^>]+content=["'][^"']*["'][^>]*"""), F.lit(0)
+    )
+    return F.array_join(tags, ">")
 
-    The tag is cut from the page once; its content is then read from the short tag.
-    """
+
+def _meta_pattern(key: str) -> str:
     name = key.replace(":", r"\:").replace("/", r"\/")
     attr = rf"""(?:name|property)=["']{name}["']"""
     value = r"""content=["']([^"']*)["']"""
-    pattern = rf"(?i)<meta[^>]+{attr}[^>]+{value}|<meta[^>]+{value}[^>]+{attr}"
-    tag = blank_to_null(F.regexp_extract(html, pattern, 0))
+    return rf"(?i)<meta[^>]+{attr}[^>]+{value}|<meta[^>]+{value}[^>]+{attr}"
+
+
+def meta_tag(html: Column, key: str) -> Column:
+    """First meta tag with that name or property, attributes in any order; else empty."""
+    return F.regexp_extract(html, _meta_pattern(key), 0)
+
+
+def meta_value(tag: Column, key: str) -> Column:
+    """Content of a tag found by `meta_tag`, null when none was."""
+    pattern = _meta_pattern(key)
     content = F.concat(F.regexp_extract(tag, pattern, 1), F.regexp_extract(tag, pattern, 2))
-    return trim(decode_entities(content))
+    return F.when(tag != "", trim(decode_entities(content)))
+
+
+def meta_content(html: Column, key: str) -> Column:
+    """Content of a meta tag of a page or of its `meta_tags`."""
+    return meta_value(meta_tag(html, key), key)
 
 
 def drop_first(col: Column, part: Column) -> Column:
