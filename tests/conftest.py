@@ -27,6 +27,7 @@ def spark():
         **{
             "spark.sql.shuffle.partitions": "2",
             "spark.ui.enabled": "false",
+            "spark.default.parallelism": "2",
             "spark.ui.showConsoleProgress": "false",
         },
     )

@@ -10,6 +10,7 @@ from vitrina.operators.ordering import first_n, rank_in_blocks, rank_within
 from vitrina.operators.pairing import pair_deltas
 from vitrina.operators.rollups import product_totals
 from vitrina.operators.rows import join_stores, keep_computed
+from vitrina.sources import tables
 
 
 def final_plan(df):
@@ -78,6 +79,20 @@ def test_first_slice_filter_reaches_the_scan(spark, tmp_path):
     assert set(schema.split(",")) == {"product_id:string", "snap_ord:int"}
 
 
+def test_last_slice_skips_days_of_a_stored_table(spark, shop, tmp_path):
+    observations, snapshots = shop(
+        *[(day, [{"id": 1, "stock": 9 - day, "price": 1}]) for day in range(5)]
+    )
+    at = snapshots.select("store_id", "snap_ord", "scraped_at")
+    path, heads = str(tmp_path / "rows"), str(tmp_path / "heads")
+    tables.write_observations(observations.join(at, ["store_id", "snap_ord"]), path)
+    snapshots.write.parquet(heads)
+    rows, snapshots = tables.read_observations(spark, path), spark.read.parquet(heads)
+    last = presence.last_slice(rows, snapshots)
+    assert "dynamicpruning" in plan(last)
+    assert [r.stock for r in last.collect()] == [5]
+
+
 def test_pair_aggregates_hash_and_columns_are_pruned(spark, tmp_path):
     path = str(tmp_path / "obs")
     hot_observations(spark, 900).write.parquet(path)

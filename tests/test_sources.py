@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from vitrina.plans import sales
 from vitrina.sources import export, sitemaps, tables
 from vitrina.sources.snapshots import load_snapshots, read_documents
-from vitrina.streaming.arrivals import append_arrivals, arriving_documents
+from vitrina.streaming.arrivals import append_arrivals, arriving_documents, stored_snapshots
 
 
 def dataset(day, stock, sold=None, **more):
@@ -92,11 +92,14 @@ def test_a_bad_part_rejects_its_snapshot(spark, tmp_path):
             "a.part00001.json": dataset(1, 9, products=[{"id": 8, "stock": 3}]),
             "b.json": dataset(2, 5),
             "b.part00001.json": "broken",
+            "c.json": dataset(3, 5),
+            "c.part00001.json": dataset(4, 5),
         },
     )
     loaded = load_snapshots(read_documents(spark, str(tmp_path / "shop")))
     assert [(r.snapshot_id, r.n_products) for r in loaded.snapshots.collect()] == [("a.json", 2)]
-    assert loaded.observations.count() == 2 and loaded.rejects.count() == 1
+    assert loaded.observations.count() == 2
+    assert {r.source_file for r in loaded.rejects.collect()} == {"b.part00001.json", "c.json"}
 
 
 def catalog(spark, size):
@@ -227,15 +230,19 @@ def test_local_product_urls(spark):
 
 
 def test_arriving_files_are_appended_once(spark, tmp_path):
-    inbox, table, marks = tmp_path / "inbox", str(tmp_path / "t"), str(tmp_path / "marks")
+    inbox, store, marks = tmp_path / "inbox", str(tmp_path / "t"), str(tmp_path / "marks")
 
     def run():
-        append_arrivals(arriving_documents(spark, str(inbox)), table, marks).awaitTermination(120)
-        return tables.read_observations(spark, table).count()
-
-    save(inbox / "shop", {"a.json": dataset(1, 10), "bad.json": "{"})
-    assert run() == 1
-    save(inbox / "shop", {"b.html": report(dataset(2, 9))})
+        for query in append_arrivals(arriving_documents(spark, str(inbox)), store, marks):
+            assert query.awaitTermination(120)
+        return stored_snapshots(spark, store)
+
+    save(inbox / "shop", {"b.json": dataset(4, 6), "bad.json": "{"})
+    assert run().observations.count() == 1
+    # the earlier capture arrives later
+    save(inbox / "shop", {"a.html": report(dataset(2, 9))})
     save(inbox / "other", {"b.json": dataset(2, 9)})
-    assert run() == 3
-    assert run() == 3
+    loaded = run()
+    assert loaded.observations.count() == 3 and loaded.rejects.count() == 1
+    assert run().observations.count() == 3
+    assert sold(loaded) == {"shop": 3, "other": 0}

@@ -9,19 +9,30 @@ from vitrina.operators.ordering import first_n
 from vitrina.operators.pairing import CELL_KEY, PRODUCT_KEY, last_rows
 
 FIRST = 1
+DAY = "snapshot_date"
 
 
 def last_ordinals(snapshots: DataFrame) -> DataFrame:
-    return snapshots.groupBy("store_id").agg(F.max("snap_ord").alias("snap_ord"))
+    """Number and day of each store's last snapshot."""
+    last = snapshots.groupBy("store_id").agg(
+        F.max("snap_ord").alias("snap_ord"),
+        F.to_date(F.max_by("scraped_at", "snap_ord")).alias(DAY),
+    )
+    # always true; Spark prunes folders at run time only for a side that is filtered
+    return last.where(F.col("snap_ord") >= FIRST)
 
 
 def last_slice(observations: DataFrame, snapshots: DataFrame) -> DataFrame:
     """Rows of each store's last snapshot.
 
     Joined on store and snapshot, so a large store is spread by snapshot when the
-    list of stores is too long to broadcast.
+    list of stores is too long to broadcast. In a table stored by day the day joins
+    too, which lets Spark skip the folders of days that are no store's last.
     """
-    return observations.join(last_ordinals(snapshots), ["store_id", "snap_ord"])
+    keys = ["store_id", "snap_ord"]
+    if DAY in observations.columns:
+        keys.append(DAY)
+    return observations.join(last_ordinals(snapshots).select(*keys), keys)
 
 
 def first_slice(observations: DataFrame) -> DataFrame:

@@ -76,9 +76,10 @@ def snapshot_documents(
     Products keep catalog order across the parts.
     """
     order = catalog_order()
-    ranked = rank_within(products, ["store_id"], order, "place").withColumn(
-        "part", F.floor((F.col("place") - 1) / max_products)
-    )
+    columns = "store_id pos id url name brand price stock_total sold_qty available variants"
+    ranked = rank_within(
+        products.select(*columns.split()), ["store_id"], order, "place"
+    ).withColumn("part", F.floor((F.col("place") - 1) / max_products))
     item = F.struct(
         "place",
         F.col("id"),

@@ -149,6 +149,11 @@ def local_product_urls(bases: DataFrame, sitemaps: DataFrame) -> DataFrame:
     )
 
 
+def sorted_urls(urls: DataFrame) -> DataFrame:
+    """Distinct addresses in address order."""
+    return urls.select("store_id", "url").distinct().orderBy("store_id", "url")
+
+
 def first_urls(urls: DataFrame, limit: int) -> DataFrame:
     """The first addresses of each store in address order."""
     return first_n(urls, ["store_id"], [F.col("url")], limit).drop("rank")

@@ -19,6 +19,7 @@ DEFAULT_BRAND = "Marca"
 # A snapshot too large for one document is saved as numbered parts of this name.
 PART_SUFFIX = r"\.part(\d+)(?=\.[^.]*$|$)"
 PART_STRIDE = 1 << 40
+SNAPSHOT_KEY = ["store_id", "snapshot_id"]
 
 
 @dataclass(frozen=True)
@@ -149,27 +150,53 @@ def flatten_products(parsed: DataFrame) -> DataFrame:
     )
 
 
-def load_snapshots(documents: DataFrame) -> SnapshotTables:
-    """Split documents into snapshots, their product rows, and rejects.
+def document_headers(parsed: DataFrame) -> DataFrame:
+    """What is known of each document apart from its products."""
+    return parsed.drop("products")
 
-    A problem rejects the whole snapshot the document belongs to; others go on.
-    """
-    parsed = parse_documents(documents)
-    key = ["store_id", "snapshot_id"]
-    headers = parsed.groupBy(*key).agg(
+
+def gathered_snapshots(headers: DataFrame) -> DataFrame:
+    """One row per snapshot, with the worst of its documents."""
+    return headers.groupBy(*SNAPSHOT_KEY).agg(
         F.max(F.size("errors")).alias("worst"),
+        (F.min("scraped_at") < F.max("scraped_at")).alias("torn"),
         F.min("source_file").alias("source_file"),
         F.min("scraped_at").alias("scraped_at"),
         *[F.min_by(name, "part").alias(name) for name in ("brand", "platform", "currency")],
         F.sum("n_products").alias("n_products"),
     )
-    snapshots = number_snapshots(headers.where(F.col("worst") == 0).drop("worst"))
-    rejects = keep_computed(
-        parsed.select("store_id", "source_file", "errors"), F.size("errors") > 0
-    )
-    observations = (
-        flatten_products(parsed)
-        .drop("scraped_at")
-        .join(snapshots.select(*key, "snap_ord", "scraped_at"), key)
+
+
+def valid_snapshots(headers: DataFrame) -> DataFrame:
+    """Numbered snapshots whose documents are all faultless and of one time."""
+    sound = gathered_snapshots(headers).where((F.col("worst") == 0) & ~F.col("torn"))
+    return number_snapshots(sound.drop("worst", "torn"))
+
+
+def rejected_documents(headers: DataFrame) -> DataFrame:
+    """Documents with problems, and first parts of snapshots captured at several times."""
+    faulty = headers.select("store_id", "source_file", "errors")
+    torn = gathered_snapshots(headers).where((F.col("worst") == 0) & F.col("torn"))
+    return keep_computed(faulty, F.size("errors") > 0).unionByName(
+        torn.select(
+            "store_id",
+            "source_file",
+            F.array(F.lit('parts differ in "scrapedAt"')).alias("errors"),
+        )
     )
-    return SnapshotTables(snapshots, observations, rejects)
+
+
+def snapshot_tables(headers: DataFrame, rows: DataFrame) -> SnapshotTables:
+    """Product rows with their snapshot's number, without those of rejected snapshots."""
+    snapshots = valid_snapshots(headers)
+    numbers = snapshots.select(*SNAPSHOT_KEY, "snap_ord")
+    return SnapshotTables(snapshots, rows.join(numbers, SNAPSHOT_KEY), rejected_documents(headers))
+
+
+def load_snapshots(documents: DataFrame) -> SnapshotTables:
+    """Split documents into snapshots, their product rows, and rejects.
+
+    A problem rejects the whole snapshot the document belongs to; others go on.
+    """
+    parsed = parse_documents(documents)
+    return snapshot_tables(document_headers(parsed), flatten_products(parsed))

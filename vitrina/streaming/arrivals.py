@@ -1,12 +1,21 @@
-"""Snapshot documents arriving as files, appended to the stored observations."""
+"""Snapshot documents arriving as files, appended to the stored tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from vitrina.sources.snapshots import flatten_products, parse_documents, with_file_columns
-from vitrina.sources.tables import with_day
+from vitrina.sources.snapshots import (
+    SnapshotTables,
+    document_headers,
+    flatten_products,
+    parse_documents,
+    snapshot_tables,
+    with_file_columns,
+)
+from vitrina.sources.tables import read_observations, with_day
+
+HEADERS, ROWS = "headers", "observations"
 
 
 def arriving_documents(spark: SparkSession, path: str, max_files: int = 10_000) -> DataFrame:
@@ -21,13 +30,26 @@ def arriving_documents(spark: SparkSession, path: str, max_files: int = 10_000)
     return with_file_columns(raw)
 
 
-def append_arrivals(documents: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
-    """Valid documents' product rows into the table; snapshot numbers come at comparison."""
-    rows = with_day(flatten_products(parse_documents(documents)))
-    return (
-        rows.writeStream.format("parquet")
-        .option("checkpointLocation", checkpoint)
-        .partitionBy("snapshot_date")
+def append_arrivals(documents: DataFrame, store: str, marks: str) -> list[StreamingQuery]:
+    """Document headers and product rows of the files that are there, each file once.
+
+    Two queries, so that each table has the file sink's exactly-once guarantee.
+    """
+    parsed = parse_documents(documents)
+    writers = {
+        HEADERS: document_headers(parsed).writeStream,
+        ROWS: with_day(flatten_products(parsed)).writeStream.partitionBy("snapshot_date"),
+    }
+    return [
+        writer.format("parquet")
+        .option("checkpointLocation", f"{marks}/{name}")
         .trigger(availableNow=True)
-        .start(table)
-    )
+        .start(f"{store}/{name}")
+        for name, writer in writers.items()
+    ]
+
+
+def stored_snapshots(spark: SparkSession, store: str) -> SnapshotTables:
+    """The tables to compare. Snapshots are numbered here, whatever order they came in."""
+    headers = spark.read.parquet(f"{store}/{HEADERS}")
+    return snapshot_tables(headers, read_observations(spark, f"{store}/{ROWS}"))

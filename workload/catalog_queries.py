@@ -111,9 +111,10 @@ def first_products(spark, sf):
 
 
 def catalog_order(spark, sf):
-    rows = rank_within(
-        captures.catalog(spark, sf), ["store_id"], catalog.catalog_order(), "place"
+    products = captures.catalog(spark, sf).select(
+        "store_id", "id", "name", "available", "pos", "url"
     )
+    rows = rank_within(products, ["store_id"], catalog.catalog_order(), "place")
     return catalog.listing(rows).select("store_id", "place", "id", "name", "available")
 
 

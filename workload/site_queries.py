@@ -136,7 +136,7 @@ def product_urls(spark, sf):
 
 
 def local_product_urls(spark, sf):
-    return maps.local_product_urls(_bases(spark, sf), _sitemaps(spark, sf))
+    return maps.sorted_urls(maps.local_product_urls(_bases(spark, sf), _sitemaps(spark, sf)))
 
 
 def first_urls(spark, sf):
