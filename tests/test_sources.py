@@ -129,7 +129,7 @@ def test_documents_written_in_parts_read_back_in_order(spark):
     products = catalog(spark, 25)
     written = export.snapshot_documents(stores(spark), products, max_products=10).cache()
     names = sorted(r.source_file for r in written.collect())
-    stem = "Scrap_Nandu_2026-06-10_1234"
+    stem = "Catalog_Nandu_2026-06-10_1234"
     assert names == [f"{stem}.json", f"{stem}.part00001.json", f"{stem}.part00002.json"]
     head = json.loads(written.where(F.col("source_file") == f"{stem}.json").first().body)
     assert head["platform"] == "tiendanube" and head["summary"]["stockKnown"] == 16
@@ -150,7 +150,7 @@ def test_small_stores_are_one_document_that_files_carry(spark, tmp_path):
     export.write_documents(written, str(tmp_path / "rows"))
     read = read_documents(spark, str(tmp_path / "files"))
     assert [(r.store_id, r.source_file) for r in read.collect()] == [
-        ("s", "Scrap_Nandu_2026-06-10_1234.json")
+        ("s", "Catalog_Nandu_2026-06-10_1234.json")
     ]
     for documents in (read, spark.read.parquet(str(tmp_path / "rows"))):
         assert load_snapshots(documents).observations.count() == 7

@@ -11,8 +11,8 @@ from vitrina.operators.catalog import catalog_order, catalog_summary
 from vitrina.operators.ordering import rank_within
 from vitrina.operators.rows import join_stores
 
-SNAPSHOT_KIND = "Scrap"
-REPORT_KIND = "Reporte_Ventas"
+SNAPSHOT_KIND = "Catalog"
+REPORT_KIND = "Sales"
 DEFAULT_PLATFORM = "tiendanube"
 # A document holds at most this many products; a larger store gets several parts.
 DOCUMENT_PRODUCTS = 10_000

@@ -12,7 +12,8 @@ from vitrina.operators.pairing import number_snapshots
 from vitrina.operators.rows import keep_computed
 from vitrina.schemas import SNAPSHOT_DOCUMENT
 
-# Fixed value: the element of an HTML report that carries its dataset.
+# Fixed value: the element of an HTML report that carries its dataset. Reports already
+# saved are found by this id.
 EMBEDDED_DATASET = r'(?s)<script type="application/json" id="scrap-data">(.*?)</script>'
 
 DEFAULT_BRAND = "Marca"

@@ -174,7 +174,7 @@ _STORES = """, shops AS (
              '%Y-%m-%d_%H%M') AS stamp FROM c
 )
 """
-_SNAPSHOT_ID = "'Scrap_' || replace(shops.brand, ' ', '_') || '_' || stamp AS snapshot_id"
+_SNAPSHOT_ID = "'Catalog_' || replace(shops.brand, ' ', '_') || '_' || stamp AS snapshot_id"
 
 SQL = {
     "snapshot_scan": _DOCS
@@ -220,7 +220,7 @@ SQL = {
     FROM placed JOIN shops USING (store_id)""",
     "output_names": f"WITH {PART_SQL}"
     + _STORES
-    + """SELECT store_id, 'Reporte_Ventas_' || replace(brand, ' ', '_') || '_Nandu_' || stamp
+    + """SELECT store_id, 'Sales_' || replace(brand, ' ', '_') || '_Nandu_' || stamp
     AS report_name FROM shops""",
 }
 
