@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+import sys
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,6 +24,9 @@ from vitrina.functions.text import (
 from vitrina.operators.adapters.common import as_products, first_name, first_of, text_or_blank
 from vitrina.schemas import EMBEDDED_PRODUCT, EMBEDDED_VARIANTS, UNITS
 
+# Send the page cutter itself to the executors, so they need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Marks around the embedded data.
 PRODUCT_MARK = "LS.product ="
 VARIANTS_MARK = "LS.variants = ["
