@@ -149,7 +149,7 @@ def feed_classify(spark, sf):
 def page_brand(spark, sf):
     word = F.regexp_extract("url", "//([a-z.-]+)", 1)
     title = (
-        F.when(F.col("page_id") % 6 == 0, F.concat(F.lit("Shop "), F.substring(word, 1, 5), F.lit(": a tagline")))
+        F.when(F.col("page_id") % 6 == 0, F.concat(F.lit("Shop "), F.substring(F.regexp_replace(word, "[^a-z]", ""), 1, 5), F.lit(": a tagline")))
         .when(F.col("page_id") % 6 == 1, F.concat(F.lit("Remera | Comprar en  "), word, F.lit(" ")))
         .when(F.col("page_id") % 6 == 2, F.concat(F.lit("Inicio - "), word))
         .when(F.col("page_id") % 6 == 3, F.concat(word, F.lit(" &amp; co")))
@@ -355,7 +355,7 @@ SQL = {
     "page_brand": """WITH w AS (SELECT page_id, regexp_extract(url, '//([a-z.-]+)', 1) AS word
       FROM pages)
     SELECT page_id, CASE WHEN page_id % 9 = 0 THEN 'Site é' ELSE CASE page_id % 6
-      WHEN 0 THEN 'Shop ' || substr(word, 1, 5)
+      WHEN 0 THEN 'Shop ' || substr(regexp_replace(word, '[^a-z]', '', 'g'), 1, 5)
       WHEN 1 THEN CASE WHEN contains(word, '-') THEN regexp_extract(word, '[^-]*$') ELSE word END
       WHEN 2 THEN regexp_extract(word, '[^-]*$')
       WHEN 3 THEN regexp_extract(word, '[^-]*$') || ' & co'
