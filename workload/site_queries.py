@@ -1,8 +1,10 @@
 """Sitemap queries on documents rendered from `part`, with their SQL counterparts.
 
-Every store has a root index, middle indexes and leaf maps. The root is declared in
-robots.txt by stores 0, 1, 4, 5 …; the others have it at the usual address. Stores
-3, 7, … list no product-like address, so their pages are sampled.
+A site has 2,000 pages at most: part pk is on site `pk % 20`-`pk div 40000`, so sites
+grow in number and not in size. Every site has a root index, middle indexes and leaf
+maps. The root is declared in robots.txt where pk % 4 is 0 or 1 and lies at the usual
+address elsewhere; it lists the leaves directly where pk % 4 is 2. Sites of remainder
+3 list no product-like address, so their pages are sampled.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from workload.snapshots import written_once
 # A leaf lists 50 pages of a store, a middle index 20 leaves.
 LEAF = 50
 MIDDLE = LEAF * 20
+SITE = 2000
 
 _URL = """CASE pk % 4
   WHEN 3 THEN concat(base, '/hoja/', pk)
@@ -48,13 +51,22 @@ def _document(rows: DataFrame, url: str, tag: str) -> DataFrame:
     )
 
 
+def _parts(spark, sf) -> DataFrame:
+    return captures.parts(spark, sf).selectExpr(
+        "pk",
+        f"concat(store_id, '-', k DIV {SITE}) AS store_id",
+        f"concat('https://s', store_id, '-', k DIV {SITE}, '.example.com') AS base",
+        f"k % {SITE} AS k",
+        "pk % 4 AS kind",
+    )
+
+
 def _robots(spark, sf) -> DataFrame:
-    bases = captures.parts(spark, sf).select("store_id", "base").distinct()
+    bases = _parts(spark, sf).select("store_id", "base", "kind").distinct()
     declared = F.concat(
         F.lit("User-agent: *\n  Sitemap:  "), "base", F.lit("/maps/root.xml\nDisallow: /x\n")
     )
-    store = F.col("store_id").cast("int")
-    return bases.withColumn("body", F.when(store % 4 < 2, declared))
+    return bases.withColumn("body", F.when(F.col("kind") < 2, declared)).drop("kind")
 
 
 def _sitemaps(spark, sf) -> DataFrame:
@@ -62,11 +74,12 @@ def _sitemaps(spark, sf) -> DataFrame:
 
 
 def _render_sitemaps(spark, sf) -> DataFrame:
-    pages = captures.parts(spark, sf).selectExpr(
+    pages = _parts(spark, sf).selectExpr(
         "store_id",
         "base",
         "pk",
         "k",
+        "kind",
         f"k DIV {LEAF} AS leaf",
         f"k DIV {MIDDLE} AS middle",
         "concat(base, CASE WHEN pk % 4 < 2 THEN '/maps/root.xml' ELSE '/sitemap.xml' END) AS root",
@@ -90,25 +103,22 @@ def _render_sitemaps(spark, sf) -> DataFrame:
         to_leaves.unionByName(extra), "concat(base, '/maps/middle', middle, '.xml')", "sitemapindex"
     )
     roots = _document(
-        pages.selectExpr("*", "middle AS place", "concat(base, '/maps/middle', middle, '.xml') AS loc"),
+        pages.where("kind <> 2").selectExpr("*", "middle AS place", "concat(base, '/maps/middle', middle, '.xml') AS loc"),
         "root",
         "SitemapIndex",
     )
-    # Tienda Nube stores list their leaves straight from the root
-    direct = _document(to_leaves, "root", "sitemapindex")
-    nested = roots.where(F.col("store_id").cast("int") % 4 != 2)
-    flat = direct.where(F.col("store_id").cast("int") % 4 == 2)
-    return leaves.unionByName(middles).unionByName(nested).unionByName(flat)
+    direct = _document(to_leaves.where("kind = 2"), "root", "sitemapindex")
+    return leaves.unionByName(middles).unionByName(roots).unionByName(direct)
 
 
 def _listed(spark, sf):
     saved = _sitemaps(spark, sf)
-    reachable = maps.reachable_sitemaps(_robots(spark, sf), saved, max_documents=None)
+    reachable = maps.reachable_sitemaps(_robots(spark, sf), saved)
     return maps.listed_urls(reachable, saved)
 
 
 def _bases(spark, sf):
-    return captures.parts(spark, sf).select("store_id", "base").distinct()
+    return _parts(spark, sf).select("store_id", "base").distinct()
 
 
 def sitemap_locations(spark, sf):
@@ -122,7 +132,7 @@ def sitemap_seeds(spark, sf):
 
 def sitemap_documents(spark, sf):
     saved = _sitemaps(spark, sf)
-    found = maps.reachable_sitemaps(_robots(spark, sf), saved, max_documents=None)
+    found = maps.reachable_sitemaps(_robots(spark, sf), saved)
     return tidy(found.select("store_id", "url", F.size("path").alias("depth")))
 
 
@@ -143,14 +153,17 @@ def first_urls(spark, sf):
     return maps.first_urls(_listed(spark, sf).select("store_id", "url"), 25)
 
 
-_PAGES = f"""WITH {PART_SQL}, page AS (
+_PAGES = f"""WITH {PART_SQL}, d AS (
+  SELECT pk, store_id || '-' || (k // {SITE}) AS store_id, k % {SITE} AS k,
+         'https://s' || store_id || '-' || (k // {SITE}) || '.example.com' AS base FROM c
+), page AS (
   SELECT *, k // {LEAF} AS leaf, k // {MIDDLE} AS middle, CASE pk % 4
   WHEN 3 THEN base || '/hoja/' || pk
   WHEN 2 THEN base || CASE WHEN k % 7 = 0 THEN '/mx/productos/' WHEN k % 11 = 0 THEN '/notas/'
     ELSE '/productos/' END || 'a-' || pk || '/'
   ELSE base || CASE k % 5 WHEN 0 THEN '/blog/' WHEN 1 THEN '/Producto/' WHEN 2 THEN '/x-p-'
     WHEN 3 THEN '/item/' ELSE '/p/' END || pk END AS url,
-  base || CASE WHEN pk % 4 < 2 THEN '/maps/root.xml' ELSE '/sitemap.xml' END AS root FROM c
+  base || CASE WHEN pk % 4 < 2 THEN '/maps/root.xml' ELSE '/sitemap.xml' END AS root FROM d
 )
 """
 
