@@ -158,3 +158,24 @@ def test_computed_conditions_are_not_pushed_below_their_columns(spark):
     kept = keep_computed(rows, F.length("t") > 1)
     assert kept.count() == 10 and "Filter" not in plan(kept)
     assert keep_computed(rows, F.col("id") > 7).count() == 2
+
+
+def test_every_join_side_is_shuffled_directly(spark, conf, shop, tmp_path):
+    """The adaptive skew join splits a side only when its sort reads a shuffle."""
+    path, heads = str(tmp_path / "rows"), str(tmp_path / "heads")
+    observations, snapshots = shop((0, [{"id": 1, "stock": 2}]), (1, [{"id": 1, "stock": 1}]))
+    observations.write.parquet(path)
+    snapshots.write.parquet(heads)
+    rows, snapshots = spark.read.parquet(path), spark.read.parquet(heads)
+    conf(autoBroadcastJoinThreshold="-1")
+    for df in (
+        pair_deltas(rows),
+        presence.last_slice(rows, snapshots),
+        presence.availability_changes(rows, snapshots),
+        presence.new_products(rows, snapshots),
+        presence.discontinued_products(rows, snapshots),
+    ):
+        lines = [re.sub(r"^[\s:+\-|*]*(\(\d+\) )?", "", line) for line in plan(df).splitlines()]
+        sorts = [i for i, line in enumerate(lines) if line.startswith("Sort [")]
+        assert sorts and any("SortMergeJoin" in line for line in lines)
+        assert all(lines[i + 1].startswith("Exchange hashpartitioning") for i in sorts), lines

@@ -9,7 +9,11 @@ from pyspark.sql import functions as F
 
 from vitrina.operators import presence, rollups
 from vitrina.operators.ordering import first_n
-from vitrina.operators.pairing import PRODUCT_KEY, pair_deltas
+from vitrina.operators.pairing import CELL_KEY, PRODUCT_KEY, pair_deltas
+from vitrina.session import written_table
+
+# What the report needs of a pair.
+DELTA_COLUMNS = [*CELL_KEY, "pos", "sold_delta", "sold", "restocked", "revenue"]
 
 # Rows shown by the report's lists.
 TOP_BARS = 10
@@ -211,15 +215,16 @@ def listing(df: DataFrame, kind: str) -> DataFrame:
 def sales_report(
     observations: DataFrame, snapshots: DataFrame, keep_deltas: bool = True
 ) -> dict[str, DataFrame]:
-    """All result tables. The pair deltas feed four of them, so they are kept once.
+    """All result tables. The pair deltas feed several of them, so they are written once
+    to the shared folder, where each table reads the columns it needs.
 
     Only the snapshot list is cut to comparable stores: the other stores have no pairs
     and no row in the list, so their observations reach no result.
     """
     snapshots = snapshots.join(comparable_stores(snapshots), "store_id", "left_semi")
-    deltas = pair_deltas(observations)
+    deltas = pair_deltas(observations).select(*DELTA_COLUMNS)
     if keep_deltas:
-        deltas = deltas.persist()
+        deltas = written_table(deltas, "pair_deltas")
     kpis = store_kpis(observations, snapshots, deltas)
     detail = product_detail(observations, deltas)
     trend = period_trend(observations, snapshots, deltas)

@@ -50,6 +50,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written_table(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a Parquet table in the shared folder, written now and read back."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path for a written intermediate table under the shared folder."""
     app = spark.sparkContext.applicationId
