@@ -29,7 +29,8 @@ def documents(spark, sf) -> DataFrame:
         F.col("sold_qty").alias("soldQty"),
         "available",
     )
-    key = ["store_id", "snap_ord", "scraped_at", (F.col("pos") / PART_KEYS).cast("bigint").alias("part")]
+    part = (F.col("pos") / PART_KEYS).cast("bigint").alias("part")
+    key = ["store_id", "snap_ord", "scraped_at", part]
     header = snapshots(spark, sf).select("store_id", "snap_ord", "brand", "platform", "currency")
     rows = (
         observations(spark, sf)
@@ -125,8 +126,7 @@ def snapshot_ingest_valid(spark, sf):
 
 def snapshot_export(spark, sf):
     rows = export.snapshot_rows(captures.stores(spark, sf), captures.catalog(spark, sf))
-    sizes = F.array_join("variants.size", "|").alias("sizes")
-    return tidy(rows.drop("pos", "variants").join(rows.select("store_id", "product_id", sizes), ["store_id", "product_id"]))
+    return tidy(rows.withColumn("sizes", F.array_join("variants.size", "|")).drop("pos", "variants"))
 
 
 def snapshot_documents(spark, sf):

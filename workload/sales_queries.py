@@ -11,7 +11,6 @@ from vitrina.operators.pairing import (
     matched_pairs,
     pair_deltas,
     with_signals,
-    with_units,
 )
 from vitrina.plans import sales
 from workload.snapshots import observations, repeated_observations, snapshots

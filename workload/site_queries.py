@@ -9,7 +9,7 @@ address elsewhere; it lists the leaves directly where pk % 4 is 2. Sites of rema
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitrina.sources import sitemaps as maps
@@ -31,6 +31,10 @@ _URL = """CASE pk % 4
     WHEN 2 THEN '/x-p-' WHEN 3 THEN '/item/' ELSE '/p/' END, pk) END"""
 
 
+def _entry(loc: Column) -> Column:
+    return F.concat(F.lit("<x><loc> "), loc, F.lit(" </loc></x>"))
+
+
 def _document(rows: DataFrame, url: str, tag: str) -> DataFrame:
     """One XML document per `url` from rows with `place` and `loc`."""
     return (
@@ -41,10 +45,7 @@ def _document(rows: DataFrame, url: str, tag: str) -> DataFrame:
             "url",
             F.concat(
                 F.lit(f"<?xml?><{tag}>"),
-                F.array_join(
-                    F.transform("items.loc", lambda l: F.concat(F.lit("<x><loc> "), l, F.lit(" </loc></x>"))),
-                    "",
-                ),
+                F.array_join(F.transform("items.loc", _entry), ""),
                 F.lit(f"</{tag}>"),
             ).alias("xml"),
         )
@@ -102,8 +103,11 @@ def _render_sitemaps(spark, sf) -> DataFrame:
     middles = _document(
         to_leaves.unionByName(extra), "concat(base, '/maps/middle', middle, '.xml')", "sitemapindex"
     )
+    to_middles = pages.where("kind <> 2").selectExpr(
+        "*", "middle AS place", "concat(base, '/maps/middle', middle, '.xml') AS loc"
+    )
     roots = _document(
-        pages.where("kind <> 2").selectExpr("*", "middle AS place", "concat(base, '/maps/middle', middle, '.xml') AS loc"),
+        to_middles,
         "root",
         "SitemapIndex",
     )

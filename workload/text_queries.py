@@ -8,7 +8,6 @@ from vitrina.functions import dates, jsonld, media, money, pages, text
 from vitrina.operators.catalog import classify_pages
 from workload import captures
 from workload.captures import PART_SQL
-from workload.captures import money as money_sql
 from workload.sales_queries import tidy
 from workload.snapshots import table
 
@@ -99,10 +98,17 @@ def meta_lookup(spark, sf):
     """Meta tags in either attribute order, among look-alikes, with entities."""
     title = F.regexp_extract("html", "<title>([^<&]*)", 1)
     rows = table(spark, sf, "pages").select("page_id", title.alias("t"))
+    first = F.concat(
+        F.lit('<meta data-a="1" property="og:title" content=" A &amp; '), "t", F.lit('">')
+    )
+    reversed_order = F.concat(
+        F.lit("<meta content='B &quot;"),
+        F.regexp_replace("t", "'", ""),
+        F.lit("' name='og:title' />"),
+    )
     page = F.concat(
         F.lit('<meta charset="x"><META name="og:title:alt" content="no">'),
-        F.when(F.col("page_id") % 2 == 0, F.concat(F.lit('<meta data-a="1" property="og:title" content=" A &amp; '), "t", F.lit('">')))
-        .otherwise(F.concat(F.lit("<meta content='B &quot;"), F.regexp_replace("t", "'", ""), F.lit("' name='og:title' />"))),
+        F.when(F.col("page_id") % 2 == 0, first).otherwise(reversed_order),
         F.lit('<meta property="og:title" content="later"><meta name="empty" content="">'),
     )
     return rows.select(
@@ -148,15 +154,17 @@ def feed_classify(spark, sf):
 
 def page_brand(spark, sf):
     word = F.regexp_extract("url", "//([a-z.-]+)", 1)
+    short = F.substring(F.regexp_replace(word, "[^a-z]", ""), 1, 5)
     title = (
-        F.when(F.col("page_id") % 6 == 0, F.concat(F.lit("Shop "), F.substring(F.regexp_replace(word, "[^a-z]", ""), 1, 5), F.lit(": a tagline")))
+        F.when(F.col("page_id") % 6 == 0, F.concat(F.lit("Shop "), short, F.lit(": a tagline")))
         .when(F.col("page_id") % 6 == 1, F.concat(F.lit("Remera | Comprar en  "), word, F.lit(" ")))
         .when(F.col("page_id") % 6 == 2, F.concat(F.lit("Inicio - "), word))
         .when(F.col("page_id") % 6 == 3, F.concat(word, F.lit(" &amp; co")))
         .when(F.col("page_id") % 6 == 4, F.lit("Inicio - x"))
     )
+    site = F.lit('<meta property="og:site_name" content=" Site &eacute; ">')
     page = F.concat(
-        F.when(F.col("page_id") % 9 == 0, '<meta property="og:site_name" content=" Site &eacute; ">').otherwise(""),
+        F.when(F.col("page_id") % 9 == 0, site).otherwise(""),
         F.coalesce(F.concat(F.lit("<title>"), title, F.lit("</title>")), F.lit("<p>untitled</p>")),
     )
     return table(spark, sf, "pages").select(
@@ -253,7 +261,8 @@ def image_rewrite(spark, sf):
 
 def page_nodes(spark, sf):
     """Nodes of every structured-data block, by type."""
-    found = captures.structured_pages(spark, sf).select("url", jsonld.nodes(F.col("html")).alias("n"))
+    pages_of = captures.structured_pages(spark, sf)
+    found = pages_of.select("url", jsonld.nodes(F.col("html")).alias("n"))
     return tidy(
         found.select(
             "url",
