@@ -55,6 +55,7 @@ def test_json_and_html_documents_mix_and_bad_ones_are_reported(spark, tmp_path):
             "f.json": dataset(3, 1) | {"scrapedAt": "yesterday", "products": []},
             "g.json": json.dumps(dataset(4, 1)) + " trailing",
             "h.txt": "  <div>",
+            "j.json": dataset(3, 1) | {"scrapedAt": "12:30"},
             "i.json": {"scrapedAt": "2026-08-01", "products": {"id": 1}},
         },
     )
@@ -69,6 +70,7 @@ def test_json_and_html_documents_mix_and_bad_ones_are_reported(spark, tmp_path):
         "g.json": "not valid JSON",
         "h.txt": "HTML without an embedded dataset",
         "i.json": 'no "products" list',
+        "j.json": '"scrapedAt" is not a date: 12:30',
     }
 
 

@@ -58,20 +58,36 @@ def listing(products: DataFrame) -> DataFrame:
     return products.orderBy("store_id", *catalog_order())
 
 
+def capture_place() -> Column:
+    """Order of a store's products: feed position, or address for pages."""
+    return F.struct(F.coalesce("pos", F.lit(0)).alias("pos"), F.col("url"))
+
+
 def catalog_currency(products: DataFrame) -> DataFrame:
-    """First currency a store's products name."""
-    at = F.struct(F.coalesce("pos", F.lit(0)).alias("pos"), F.col("url"))
-    return (
-        products.where(F.col("currency").isNotNull())
+    """First currency a store's products name.
+
+    Nearly every store names one, which a distinct list shows. Only the products of
+    the others are put in order.
+    """
+    named = products.where(F.col("currency").isNotNull())
+    counted = (
+        named.select("store_id", "currency")
+        .distinct()
+        .groupBy("store_id")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("currency").alias("currency"))
+    )
+    mixed = counted.where(F.col("n") > 1).select("store_id")
+    first = (
+        join_stores(named.select("store_id", "currency", "pos", "url"), mixed, ["url"])
         .groupBy("store_id")
-        .agg(F.min_by("currency", at).alias("currency"))
+        .agg(F.min_by("currency", capture_place()).alias("currency"))
     )
+    return counted.where(F.col("n") == 1).select("store_id", "currency").unionByName(first)
 
 
 def catalog_summary(products: DataFrame) -> DataFrame:
     """One row per store. Unknown stock stays unknown: the total is null without any."""
-    at = F.struct(F.coalesce("pos", F.lit(0)).alias("pos"), F.col("url"))
-    return products.groupBy("store_id").agg(
+    numbers = products.groupBy("store_id").agg(
         F.count(F.lit(1)).alias("products"),
         F.sum("stock_total").alias("stock_total"),
         F.count("stock_total").alias("stock_known"),
@@ -79,16 +95,14 @@ def catalog_summary(products: DataFrame) -> DataFrame:
         F.count_if(~F.coalesce("available", F.lit(False))).alias("sold_out_n"),
         F.min(F.coalesce("min_price", "price")).alias("min_price"),
         F.max(F.coalesce("max_price", "price")).alias("max_price"),
-        F.min_by("currency", F.when(F.col("currency").isNotNull(), at)).alias("currency"),
     )
+    return numbers.join(catalog_currency(products), "store_id", "left")
 
 
 def majority_brand(products: DataFrame) -> DataFrame:
     """Most frequent product brand per store, the first seen winning ties."""
-    place = F.struct(F.coalesce("pos", F.lit(0)).alias("pos"), F.col("url"))
-    votes = (
-        products.groupBy("store_id", F.col("brand").alias("top_brand"))
-        .agg(F.count(F.lit(1)).alias("votes"), F.min(place).alias("seen"))
+    votes = products.groupBy("store_id", F.col("brand").alias("top_brand")).agg(
+        F.count(F.lit(1)).alias("votes"), F.min(capture_place()).alias("seen")
     )
     # the least of (-votes, place) is the brand with most votes, then the earliest
     named = blank_to_null(F.col("top_brand")).isNotNull()

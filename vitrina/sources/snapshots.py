@@ -69,7 +69,9 @@ def dataset_text(source_file: Column, body: Column) -> Column:
 def capture_time(text: Column) -> Column:
     """ISO-8601 text or epoch milliseconds."""
     millis = F.when(text.rlike(r"^-?\d{9,}$"), text.try_cast("bigint"))
-    return F.coalesce(F.timestamp_millis(millis), text.try_cast("timestamp"))
+    # a time of day alone would be read as today
+    dated = F.when(text.rlike(r"^\s*\d{4}"), text.try_cast("timestamp"))
+    return F.coalesce(F.timestamp_millis(millis), dated)
 
 
 def parse_documents(documents: DataFrame) -> DataFrame:
