@@ -11,6 +11,10 @@ ENGINE_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # A join side measured to be small in every partition is hashed, others are sorted.
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
+    # JSON-LD blocks may repeat a key; the last one counts.
+    "spark.sql.variant.allowDuplicateKeys": "true",
     # Per-store top-k lists are pruned in the map tasks up to this many rows.
     "spark.sql.optimizer.windowGroupLimitThreshold": "10000",
 }
