@@ -5,10 +5,12 @@ least and the greatest value are kept, so `PERMUTATIONS` evaluations give twice
 Bands of `ROWS` values meet in buckets. With 252 values in 42 bands of six, a pair of similarity 0.8 that is missed by
 every band has a probability of 3e-6.
 
-Documents with equal sets form a class, and only classes are compared. In a bucket every class
-is first checked against the bucket's least one, which joins a large group of near copies
-into one component with one check each. Then all pairs of a bucket that lie in different components are
-checked, so no pair that meets in a bucket is left out. Checks use full sets.
+Documents with equal sets form a class, and only classes are compared. First every class is
+checked against one leader, that of most of its buckets, in a few rounds with other leaders; that joins a
+large group of near copies into few components with one check each. Then every pair that
+meets in a bucket and lies in different components is considered, none left out. A bitmap of
+parities bounds the symmetric difference of two sets from below, so pairs that cannot be
+similar enough fall inside the join, and the rest is checked on full sets.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitrina.llm.common import LOWER, blocks, mix64, word_hashes, word_spans
@@ -28,6 +30,9 @@ ROWS = 6
 BANDS = 2 * PERMUTATIONS // ROWS
 SHINGLE_WORDS = 5
 SIMILARITY = (80, 100)
+LEADER_ROUNDS = 2
+#: Longs of a parity bitmap.
+PARITY = 8
 
 _MULTIPLIERS = mix64(np.arange(1, PERMUTATIONS + 1, dtype=np.uint64) << np.uint64(20)) | np.uint64(1)
 _SHIFTS = mix64(np.arange(1, PERMUTATIONS + 1, dtype=np.uint64) << np.uint64(40))
@@ -100,6 +105,27 @@ def set_digests(h: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     return out
 
 
+def parities(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """A bitmap per non-empty set: each element flips one bit.
+
+    Two bitmaps differ in at most as many bits as the sets differ in elements.
+    """
+    begin = offsets[:-1][np.diff(offsets) > 0]
+    cell = mix64(h ^ np.uint64(0x7F4A7C15))
+    bit = np.uint64(1) << (cell & np.uint64(63))
+    place = (cell >> np.uint64(6)) % np.uint64(PARITY)
+    out = np.empty((len(begin), PARITY), np.uint64)
+    for i in range(PARITY):
+        out[:, i] = np.bitwise_xor.reduceat(np.where(place == i, bit, np.uint64(0)), begin)
+    return out
+
+
+def _lists(values: np.ndarray, full: np.ndarray) -> pa.ListArray:
+    """A row's longs for each full row, an empty list for the others."""
+    ends = np.concatenate(([0], np.cumsum(full * values.shape[1]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values.reshape(-1).view(np.int64)))
+
+
 def _signature_rows(size: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -107,15 +133,20 @@ def _signature_rows(size: int):
                 h, offsets = shingle_sets(data, starts, size)
                 count = np.diff(offsets)
                 full = count > 0
-                keys = np.zeros((0, BANDS), np.uint64)
+                keys, parity = np.zeros((0, BANDS), np.uint64), np.zeros((0, PARITY), np.uint64)
                 if full.any():
-                    keys = band_keys(signatures(h, offsets))
-                ends = np.concatenate(([0], np.cumsum(full * BANDS))).astype(np.int32)
-                bands = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.reshape(-1).view(np.int64)))
+                    keys, parity = band_keys(signatures(h, offsets)), parities(h, offsets)
                 a, b = set_digests(h, offsets)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, end - first), pa.array(count.astype(np.int64)), pa.array(a), pa.array(b), bands],
-                    ["doc_id", "n_shingles", "set_a", "set_b", "bands"],
+                    [
+                        batch.column(0).slice(first, end - first),
+                        pa.array(count.astype(np.int64)),
+                        pa.array(a),
+                        pa.array(b),
+                        _lists(keys, full),
+                        _lists(parity, full),
+                    ],
+                    ["doc_id", "n_shingles", "set_a", "set_b", "bands", "parity"],
                 )
 
     return rows
@@ -193,7 +224,7 @@ def near_duplicates(
     part, whole = similarity
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     kind = own.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n_shingles long, set_a long, set_b long, bands array<long>"
+    schema = f"doc_id {kind}, n_shingles long, set_a long, set_b long, bands array<long>, parity array<long>"
     signed = own.mapInArrow(_signature_rows(shingle_words), schema)
     rows = written_table(signed.withColumn("row", F.monotonically_increasing_id()), "signatures")
     sets = ["n_shingles", "set_a", "set_b"]
@@ -203,17 +234,13 @@ def near_duplicates(
     )
     present = classes.select("cid").join(rows.select(F.col("row").alias("cid"), "doc_id", *sets, "bands"), "cid")
     entries = present.select("cid", "n_shingles", F.explode("bands").alias("band"))
-    buckets = entries.groupBy("band").agg(
-        F.min("cid").alias("leader"), F.min_by("n_shingles", "cid").alias("leader_size"), F.count(F.lit(1)).alias("held")
-    )
-    members = written_table(entries.join(buckets.where("held > 1").drop("held"), "band"), "members")
-    likely = lambda x, y: (F.lit(whole) * F.least(x, y) >= F.lit(part) * F.greatest(x, y))
-    starred = written_table(
-        members.where((F.col("cid") != F.col("leader")) & likely(F.col("n_shingles"), F.col("leader_size")))
-        .select(F.col("leader").alias("x"), F.col("cid").alias("y"))
-        .distinct(),
-        "pairs",
-    )
+    shared = entries.groupBy("band").agg(F.count(F.lit(1)).alias("held")).where("held > 1").select("band")
+    members = written_table(entries.join(shared, "band"), "members")
+    differ = F.lit(whole + part)
+
+    def likely(apart: Column, x: str, y: str) -> Column:
+        """Sets of sizes x and y that differ in at least `apart` elements may be similar enough."""
+        return differ * apart <= F.lit(whole - part) * (F.col(x) + F.col(y))
 
     # Full sets of the classes that share a bucket with another, computed from their texts again.
     meeting = present.join(members.select("cid").distinct(), "cid").select("cid", "doc_id", *sets)
@@ -232,26 +259,49 @@ def near_duplicates(
         found = both.mapInArrow(_linked_rows(similarity), "x long, y long")
         return found.select(F.greatest("x", "y").alias("v"), F.least("x", "y").alias("m"))
 
-    near = written_table(links(starred), "links")
-    roots = connected(near)
+    near, roots = None, None
+    for number in range(LEADER_ROUNDS):
+        # The bucket's least class by another order each time.
+        order = F.col("cid") if number == 0 else F.xxhash64("cid", F.lit(number))
+        leaders = members.groupBy("band").agg(
+            F.min_by("cid", order).alias("leader"), F.min_by("n_shingles", order).alias("leader_size")
+        )
+        met = members.join(leaders, "band").where(F.col("cid") != F.col("leader"))
+        met = met.where(likely(F.abs(F.col("n_shingles") - F.col("leader_size")), "n_shingles", "leader_size"))
+        if roots is not None:
+            of_leader = roots.select(F.col("v").alias("leader"), F.col("root").alias("leader_root"))
+            met = met.join(roots.withColumnRenamed("v", "cid"), "cid", "left").join(of_leader, "leader", "left")
+            met = met.where(F.coalesce("root", "cid") != F.coalesce("leader_root", "leader"))
+        often = met.groupBy("cid", "leader").agg(F.count(F.lit(1)).alias("bands"))
+        # Most bands first, then the least leader.
+        chosen = often.groupBy("cid").agg(F.max("bands").alias("bands"))
+        chosen = often.join(chosen, ["cid", "bands"]).groupBy("cid").agg(F.min("leader").alias("leader"))
+        found = links(chosen.select(F.col("leader").alias("x"), F.col("cid").alias("y")))
+        near = written_table(found if near is None else near.union(found), "links")
+        roots = connected(near)
+
     labelled = members.join(roots.withColumnRenamed("v", "cid"), "cid", "left").select(
         "band", "cid", "n_shingles", F.coalesce("root", "cid").alias("root")
     )
     mixed = labelled.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-    open_members = written_table(
-        labelled.join(mixed.where("low < high").select("band"), "band"), "open"
-    )
+    still = labelled.join(mixed.where("low < high").select("band"), "band")
+    bits = [F.col("parity")[i].alias(f"p{i}") for i in range(PARITY)]
+    bitmaps = rows.select(F.col("row").alias("cid"), *bits)
+    open_members = written_table(still.join(bitmaps, "cid"), "open")
     other = open_members.select(
-        "band", F.col("cid").alias("y"), F.col("n_shingles").alias("y_size"), F.col("root").alias("y_root")
+        "band", F.col("cid").alias("y"), F.col("n_shingles").alias("y_size"), F.col("root").alias("y_root"),
+        *(F.col(f"p{i}").alias(f"q{i}") for i in range(PARITY)),
+    )
+    apart = F.greatest(
+        F.abs(F.col("n_shingles") - F.col("y_size")).cast("int"),
+        sum((F.bit_count(F.col(f"p{i}").bitwiseXOR(F.col(f"q{i}"))) for i in range(PARITY)), F.lit(0)),
     )
-    crossing = (
-        open_members.withColumnRenamed("cid", "x")
-        .join(other, "band")
-        .where((F.col("root") < F.col("y_root")) & likely(F.col("n_shingles"), F.col("y_size")))
-        .select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-        .distinct()
+    mine = open_members.withColumnRenamed("band", "x_band").withColumnRenamed("cid", "x")
+    crossing = mine.join(
+        other,
+        (F.col("x_band") == F.col("band")) & (F.col("root") < F.col("y_root")) & likely(apart, "n_shingles", "y_size"),
     )
-    rest = written_table(crossing.join(starred, ["x", "y"], "left_anti"), "pairs")
+    rest = written_table(crossing.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "pairs")
     if not rest.isEmpty():
         roots = connected(near.union(links(rest)))
 
