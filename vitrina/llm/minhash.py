@@ -246,7 +246,8 @@ def near_duplicates(
     meeting = present.join(members.select("cid").distinct(), "cid").select("cid", "doc_id", *sets)
     wanted = written_table(meeting, "meeting")
     ids = wanted.select(F.col("doc_id").alias("_id")).distinct()
-    texts = own.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("text")
+    # The same plan at every size: texts are dealt by id, never the ids to all tasks.
+    texts = own.join(ids.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").select("text")
     computed = texts.mapInArrow(
         _set_rows(shingle_words), "n_shingles long, set_a long, set_b long, shingles binary"
     )
