@@ -33,15 +33,15 @@ def test_shopify_sale_prices_and_defaults(spark):
     body = {
         "products": [
             {
-                "id": 7199699927120,
-                "title": "Strider",
-                "handle": "strider",
+                "id": 52,
+                "title": "Farol",
+                "handle": "farol",
                 "body_html": "<p>Light<br>shoe &amp; more</p>",
                 "vendor": "Maker",
                 "product_type": "Shoes",
                 "variants": [
                     {"option1": "8", "option2": None, "sku": "A8", "available": False,
-                     "price": "91.00", "compare_at_price": "130.00", "featured_image": None},
+                     "price": "48.00", "compare_at_price": "75.00", "featured_image": None},
                     {"option1": "9", "option2": "Red", "sku": None, "available": True,
                      "price": "95.50", "compare_at_price": "95.50",
                      "featured_image": {"src": "https://i/9.jpg"}},
@@ -54,14 +54,14 @@ def test_shopify_sale_prices_and_defaults(spark):
         ]
     }
     first, second = shopify_products(feed(spark, body)).orderBy("pos").collect()
-    assert (first.id, first.url) == ("7199699927120", BASE + "/products/strider")
-    assert (float(first.min_price), float(first.max_price)) == (91, 95.5)
-    assert (first.price_short, first.promo_short, first.compare_short) == ("$130", "$91", "$130")
+    assert (first.id, first.url) == ("52", BASE + "/products/farol")
+    assert (float(first.min_price), float(first.max_price)) == (48, 95.5)
+    assert (first.price_short, first.promo_short, first.compare_short) == ("$75", "$48", "$75")
     assert first.available and first.stock_total is None and first.sold_qty is None
     assert first.crumbs == ["Shoes"] and first.size_option_name == "Size"
     assert first.description == "Light shoe & more" and first.main_image == "https://i/9.jpg"
     assert [(v.size, v.sku, v.promo_short) for v in first.variants] == [
-        ("8", "A8", "$91"), ("9 / Red", "", None),
+        ("8", "A8", "$48"), ("9 / Red", "", None),
     ]
     assert (second.size_option_name, second.variants[0].size) == ("Variante", "—")
     assert not second.available and second.crumbs == [] and second.brand == ""
@@ -69,21 +69,21 @@ def test_shopify_sale_prices_and_defaults(spark):
 
 def test_woocommerce_minor_units_and_sales(spark):
     body = [
-        {"id": 1475, "name": "Set <b>Screw</b> &amp; Kit", "permalink": "", "on_sale": True,
+        {"id": 31, "name": "Hook <b>Board</b> &amp; Rail", "permalink": "", "on_sale": True,
          "is_in_stock": True, "low_stock_remaining": 3,
-         "prices": {"price": "150", "regular_price": "195", "sale_price": "150",
+         "prices": {"price": "640", "regular_price": "720", "sale_price": "640",
                     "price_range": None, "currency_code": "USD", "currency_minor_unit": 2},
          "short_description": "", "description": "<p>long</p>",
-         "categories": [{"name": "Accessories"}], "attributes": [{"name": "Screw Size"}]},
+         "categories": [{"name": "Workshop"}], "attributes": [{"name": "Rail Length"}]},
         {"id": 2, "name": "Range", "permalink": BASE + "/r", "on_sale": False, "is_in_stock": False,
          "prices": {"price": "1000", "price_range": {"min_amount": "1000", "max_amount": "2500"},
                     "currency_minor_unit": 0}},
     ]
     first, second = woocommerce_products(feed(spark, body)).orderBy("pos").collect()
-    assert first.name == "Set Screw & Kit" and first.url == BASE
-    assert float(first.price) == 1.5 and first.stock_total == 3 and first.currency == "USD"
-    assert (first.price_short, first.promo_short, first.compare_short) == ("$2", "$2", "$2")
-    assert first.crumbs == ["Accessories"] and first.size_option_name == "Screw Size"
+    assert first.name == "Hook Board & Rail" and first.url == BASE
+    assert float(first.price) == 6.4 and first.stock_total == 3 and first.currency == "USD"
+    assert (first.price_short, first.promo_short, first.compare_short) == ("$7", "$6", "$7")
+    assert first.crumbs == ["Workshop"] and first.size_option_name == "Rail Length"
     assert first.description == "long" and first.variants == []
     assert (float(second.min_price), float(second.max_price)) == (1000, 2500)
     assert second.price_short == "$1.000" and not second.available and second.crumbs == []

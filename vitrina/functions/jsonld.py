@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from vitrina.functions.money import variant_price
 from vitrina.functions.text import blank_to_null, trim
 
+# What a structured-data block looks like and what counts as available.
 BLOCK = r"""(?is)<script[^>]*type=["']application/ld\+json["'][^>]*>(.*?)</script>"""
+NAME_BEGIN = 20
 AVAILABLE = "(?i)InStock|LimitedAvailability|OnlineOnly|PreOrder"
 
 
@@ -56,13 +58,17 @@ def nodes_of_type(all_nodes: Column, name: str) -> Column:
 
 
 def main_product(products: Column, og_title: Column) -> Column:
-    """The product the page is about: related-item carousels embed products too."""
+    """The product the page is about: related-item carousels embed products too.
+
+    The longest name that begins the title wins, else the first whose own begin does.
+    """
     title = F.lower(blank_to_null(og_title))
-    matching = F.filter(
-        products,
-        lambda n: F.startswith(title, F.substring(F.lower(text_field(n, "$.name")), 1, 20)),
-    )
-    return F.coalesce(F.get(matching, 0), F.get(products, 0))
+    name = lambda n: F.lower(text_field(n, "$.name"))
+    whole = F.filter(products, lambda n: F.startswith(title, name(n)))
+    longest = F.array_max(F.transform(whole, lambda n: F.length(name(n))))
+    exact = F.filter(whole, lambda n: F.length(name(n)) == longest)
+    begun = F.filter(products, lambda n: F.startswith(title, F.substring(name(n), 1, NAME_BEGIN)))
+    return F.coalesce(F.get(exact, 0), F.get(begun, 0), F.get(products, 0))
 
 
 def as_list(node: Column, path: str) -> Column:

@@ -42,6 +42,13 @@ def lighten_images(text: Column, width: int = LIGHT_WIDTH) -> Column:
         rf"""(?i){_CDN_FILE}\?((?:[^"'\s)]*?&)?)width=[^&"'\s)]*""",
         f"$1?$2width={width}",
     )
+    # further widths of the same query go, one after the other
+    text = F.regexp_replace(
+        text,
+        rf"""((?:(?i:{_CDN_FILE})\?(?:[^&"'\s)]*&)*?width={width}|(?<!^)\G)"""
+        r"""(?:&(?!width=)[^&"'\s)]*)*)&width=[^&"'\s)]*""",
+        "$1",
+    )
     text = F.regexp_replace(text, rf"""(?i){_CDN_FILE}\?(?=["'\s)]|$)""", f"$1?width={width}")
     return F.regexp_replace(
         text,

@@ -176,10 +176,10 @@ def url_host(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, r"(?i)^https?://(?:[^/?#@]*@)?([^/?#:]+)", 1))
 
 
-def page_key(url: Column, base: Column, limit: int = 120) -> Column:
+def page_key(url: Column, base: Column, limit: int | None = None) -> Column:
     """File-safe key of a page inside its store."""
     path = F.regexp_replace(drop_first(url, base), "[^A-Za-z0-9]+", "_")
-    return F.concat(F.substring(path, 1, limit), F.lit(".html"))
+    return F.concat(path if limit is None else F.substring(path, 1, limit), F.lit(".html"))
 
 
 def last_path_segment(url: Column) -> Column:

@@ -31,7 +31,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 PRODUCT_MARK = "LS.product ="
 VARIANTS_MARK = "LS.variants = ["
 CRUMBS_MARK = "BreadcrumbList"
-CRUMBS_SPAN = 900
+BLOCK_END = "</script"
 OPTION_NAME = "Talle"
 
 _STRUCTURE = re.compile(r"""["'{}\[\]]""")
@@ -126,9 +126,9 @@ def _variant(v: Column) -> Column:
 
 
 def _crumbs(html: Column) -> Column:
-    """Category names after the breadcrumb mark, without the product itself."""
+    """Category names of the block with the breadcrumb mark, without the product itself."""
     at = F.instr(html, F.lit(CRUMBS_MARK))
-    span = F.when(at > 0, F.substring(html, at, F.lit(CRUMBS_SPAN)))
+    span = F.when(at > 0, F.substring_index(F.substring(html, at, F.length(html)), BLOCK_END, 1))
     names = F.regexp_extract_all(span, F.lit(r'"name"\s*:\s*"([^"]+)"'), F.lit(1))
     kept = F.slice(names, 1, F.greatest(F.size(names) - 1, F.lit(0)))
     return F.coalesce(F.transform(kept, lambda n: decode_entities(trim(n))), F.array())

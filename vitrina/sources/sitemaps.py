@@ -11,12 +11,8 @@ from vitrina.operators.ordering import first_n
 from vitrina.operators.rows import join_stores
 from vitrina.session import cut_lineage
 
-# Where a sitemap is looked for, and how many documents, child maps and
-# sampled pages a store's catalog is read from.
+# Where a sitemap is looked for.
 DEFAULT_SITEMAPS = ["/sitemap.xml", "/sitemap_index.xml", "/wp-sitemap.xml"]
-MAX_DOCUMENTS = 60
-MAX_CHILD_MAPS = 50
-SAMPLE_PAGES = 300
 
 LOC = "<loc>([^<]+)</loc>"
 IS_INDEX = "(?i)<sitemapindex"
@@ -48,12 +44,11 @@ def sitemap_seeds(robots: DataFrame) -> DataFrame:
 
 
 def reachable_sitemaps(
-    robots: DataFrame, sitemaps: DataFrame, max_documents: int | None = MAX_DOCUMENTS
+    robots: DataFrame, sitemaps: DataFrame, max_documents: int | None = None
 ) -> DataFrame:
     """Documents found breadth-first from the seeds, each with its `path` of places.
 
-    Among the saved documents only the first `max_documents` per store count; with
-    None there is no limit.
+    All saved documents count, or only the first `max_documents` of each store.
     """
     known = sitemaps.select("store_id", "url").distinct()
     # read the index documents once, not once per level
@@ -107,8 +102,8 @@ def listed_urls(reachable: DataFrame, sitemaps: DataFrame) -> DataFrame:
     )
 
 
-def product_urls(listed: DataFrame, bases: DataFrame, sample: int = SAMPLE_PAGES) -> DataFrame:
-    """Product addresses of each store; a store without any gives a page sample.
+def product_urls(listed: DataFrame, bases: DataFrame, sample: int | None = None) -> DataFrame:
+    """Product addresses of each store; a store without any gives all its pages, or the first `sample`.
 
     `bases(store_id, base)` has one row per store.
     """
@@ -118,25 +113,25 @@ def product_urls(listed: DataFrame, bases: DataFrame, sample: int = SAMPLE_PAGES
     chosen = urls.where("is_product")
     known = chosen.select("store_id").distinct()
     unclear = join_stores(urls, known, ["url"], "left_anti")
-    sampled = first_n(
-        unclear.where(F.startswith("url", "base")), ["store_id"], [F.col("listed_at")], sample
-    )
+    sampled = unclear.where(F.startswith("url", "base"))
+    if sample is not None:
+        sampled = first_n(sampled, ["store_id"], [F.col("listed_at")], sample)
     return chosen.select("store_id", "url", F.lit(False).alias("sampled")).unionByName(
         sampled.select("store_id", "url", F.lit(True).alias("sampled"))
     )
 
 
-def local_product_urls(bases: DataFrame, sitemaps: DataFrame) -> DataFrame:
-    """Tienda Nube: product pages of the root sitemap, or of its child maps."""
+def local_product_urls(
+    bases: DataFrame, sitemaps: DataFrame, max_child_maps: int | None = None
+) -> DataFrame:
+    """Tienda Nube: product pages of the root sitemap, or of its child maps (the first few if limited)."""
     root = bases.select("store_id", "base", F.concat("base", F.lit("/sitemap.xml")).alias("url"))
     locs = sitemap_locations(sitemaps)
     top = locs.join(root, ["store_id", "url"])
-    child_maps = first_n(
-        top.where(F.col("is_index") & F.col("loc").rlike(IS_XML)),
-        ["store_id"],
-        [F.col("place")],
-        MAX_CHILD_MAPS,
-    ).select("store_id", "base", F.col("loc").alias("url"))
+    child_maps = top.where(F.col("is_index") & F.col("loc").rlike(IS_XML))
+    if max_child_maps is not None:
+        child_maps = first_n(child_maps, ["store_id"], [F.col("place")], max_child_maps)
+    child_maps = child_maps.select("store_id", "base", F.col("loc").alias("url"))
     from_children = locs.join(child_maps, ["store_id", "url"])
     direct = top.where(~F.col("is_index"))
     pages = direct.select("store_id", "base", "loc").unionByName(

@@ -135,7 +135,7 @@ def embedded_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
       '<div class="box product-description" id="d"><div>Long <b>text</b> about ', name,
       '</div>', if(k % 2 = 0, '<p>and a tail that goes on</p>', ''), '</div><div>other</div>',
       '<script type="application/ld+json">{{"@type":"BreadcrumbList","itemListElement":',
-      '[{{"name": "', type, '"}},{{"name":"', brand, ' &ntilde;"}},{{"name":"', name,
+      '[{{"item":"https://', if(k % 3 = 0, repeat('x', 1000), 'c'), '","name": "', type, '"}},{{"name":"', brand, ' &ntilde;"}},{{"name":"', name,
       '"}}]}}</script></body></html>')"""
     return parts(spark, sf_dir, 2).selectExpr(
         "store_id", "base", "concat(base, '/productos/u-', pk, '/') AS url", f"{html} AS html"

@@ -1,10 +1,10 @@
 """Sitemap queries on documents rendered from `part`, with their SQL counterparts.
 
-A site has 2,000 pages at most: part pk is on site `pk % 20`-`pk div 40000`, so sites
-grow in number and not in size. Every site has a root index, middle indexes and leaf
+Part pk is on site `pk % 4`-`pk div 32000`: a site grows to 8,000 pages in 2,000 leaf maps,
+then sites grow in number. Every site has a root index, middle indexes and leaf
 maps. The root is declared in robots.txt where pk % 4 is 0 or 1 and lies at the usual
 address elsewhere; it lists the leaves directly where pk % 4 is 2. Sites of remainder
-3 list no product-like address, so their pages are sampled.
+3 list no product-like address, so all their pages count.
 """
 
 from __future__ import annotations
@@ -18,10 +18,10 @@ from workload.captures import PART_SQL
 from workload.sales_queries import tidy
 from workload.snapshots import written_once
 
-# A leaf lists 50 pages of a store, a middle index 20 leaves.
-LEAF = 50
+# A leaf lists 4 pages of a store, a middle index 20 leaves.
+LEAF = 4
 MIDDLE = LEAF * 20
-SITE = 2000
+SITE = 8000
 
 _URL = """CASE pk % 4
   WHEN 3 THEN concat(base, '/hoja/', pk)
@@ -55,9 +55,9 @@ def _document(rows: DataFrame, url: str, tag: str) -> DataFrame:
 def _parts(spark, sf) -> DataFrame:
     return captures.parts(spark, sf).selectExpr(
         "pk",
-        f"concat(store_id, '-', k DIV {SITE}) AS store_id",
-        f"concat('https://s', store_id, '-', k DIV {SITE}, '.example.com') AS base",
-        f"k % {SITE} AS k",
+        f"concat(pk % 4, '-', pk DIV {4 * SITE}) AS store_id",
+        f"concat('https://s', pk % 4, '-', pk DIV {4 * SITE}, '.example.com') AS base",
+        f"pk DIV 4 % {SITE} AS k",
         "pk % 4 AS kind",
     )
 
@@ -126,8 +126,7 @@ def _bases(spark, sf):
 
 
 def sitemap_locations(spark, sf):
-    locs = maps.sitemap_locations(_sitemaps(spark, sf).where(F.col("url").contains("/leaf")))
-    return locs.select("store_id", "url", "loc")
+    return maps.sitemap_locations(_sitemaps(spark, sf)).select("store_id", "url", "is_index", "loc")
 
 
 def sitemap_seeds(spark, sf):
@@ -145,7 +144,7 @@ def sitemap_urls(spark, sf):
 
 
 def product_urls(spark, sf):
-    """Product pages, and the page sample of the stores without any."""
+    """Product pages, and all pages of the stores without any."""
     return maps.product_urls(_listed(spark, sf), _bases(spark, sf))
 
 
@@ -158,8 +157,8 @@ def first_urls(spark, sf):
 
 
 _PAGES = f"""WITH {PART_SQL}, d AS (
-  SELECT pk, store_id || '-' || (k // {SITE}) AS store_id, k % {SITE} AS k,
-         'https://s' || store_id || '-' || (k // {SITE}) || '.example.com' AS base FROM c
+  SELECT pk, (pk % 4) || '-' || (pk // {4 * SITE}) AS store_id, (pk // 4) % {SITE} AS k,
+         'https://s' || (pk % 4) || '-' || (pk // {4 * SITE}) || '.example.com' AS base FROM c
 ), page AS (
   SELECT *, k // {LEAF} AS leaf, k // {MIDDLE} AS middle, CASE pk % 4
   WHEN 3 THEN base || '/hoja/' || pk
@@ -173,7 +172,15 @@ _PAGES = f"""WITH {PART_SQL}, d AS (
 
 SQL = {
     "sitemap_locations": _PAGES
-    + "SELECT store_id, base || '/maps/leaf' || leaf || '.xml?v=1' AS url, url AS loc FROM page",
+    + """, m AS (
+      SELECT *, base || '/maps/leaf' || leaf || '.xml?v=1' AS leaf_url,
+             base || '/maps/middle' || middle || '.xml' AS middle_url FROM page)
+    SELECT store_id, leaf_url AS url, false AS is_index, url AS loc FROM m
+    UNION ALL SELECT DISTINCT store_id, middle_url, true, leaf_url FROM m
+    UNION ALL SELECT DISTINCT store_id, middle_url, true,
+      unnest([root, base || '/maps/lost.xml', base || '/about']) FROM m
+    UNION ALL SELECT DISTINCT store_id, root, true,
+      CASE WHEN pk % 4 = 2 THEN leaf_url ELSE middle_url END FROM m""",
     "sitemap_seeds": _PAGES
     + """, b AS (SELECT DISTINCT store_id, base, pk % 4 < 2 AS d FROM page)
     SELECT store_id, base || '/maps/root.xml' AS url, CAST(0 AS BIGINT) AS place FROM b WHERE d
@@ -189,8 +196,7 @@ SQL = {
     "product_urls": _PAGES
     + """SELECT store_id, url, false AS sampled FROM page
       WHERE pk % 4 < 2 AND k % 5 <> 0 OR pk % 4 = 2 AND (k % 7 = 0 OR k % 11 <> 0)
-    UNION ALL (SELECT store_id, url, true FROM page WHERE pk % 4 = 3
-      QUALIFY row_number() OVER (PARTITION BY store_id ORDER BY k) <= 300)""",
+    UNION ALL SELECT store_id, url, true FROM page WHERE pk % 4 = 3""",
     "local_product_urls": _PAGES
     + "SELECT store_id, url FROM page WHERE pk % 4 = 2 AND k % 7 <> 0 AND k % 11 <> 0",
     "first_urls": _PAGES

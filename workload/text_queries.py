@@ -254,7 +254,7 @@ def image_rewrite(spark, sf):
         """concat('<img src="https://d', pk, '.mitiendanube.com/f', pk, '-1024-', 100 + pk % 900,
         '.webp"><img src="https://cdn.shopify.com/s/', pk, '.png',
         CASE pk % 5 WHEN 0 THEN '' WHEN 1 THEN '?v=12' WHEN 2 THEN '?width=900&v=3'
-        WHEN 3 THEN '?v=1&width=40' ELSE '?' END, '"> https://other.com/a-10-20.jpg')"""
+        WHEN 3 THEN '?v=1&width=40&x=2&width=9&width=70' ELSE '?' END, '"> https://other.com/a-10-20.jpg')"""
     )
     return captures.parts(spark, sf).select("pk", media.lighten_images(html).alias("html"))
 
@@ -384,8 +384,8 @@ SQL = {
         '^https?://', ''), '/+$', '') ELSE regexp_replace(url || '//', '/+$', '') END AS normal,
       regexp_extract(url, '^(https?://[^/?#]+)', 1) AS origin,
       regexp_extract(url, '^https?://([^/?#:]+)', 1) AS host,
-      substr(regexp_replace(regexp_replace(url, '^https?://[^/?#]+', ''), '[^A-Za-z0-9]+', '_',
-        'g'), 1, 120) || '.html' AS page_key,
+      regexp_replace(regexp_replace(url, '^https?://[^/?#]+', ''), '[^A-Za-z0-9]+', '_',
+        'g') || '.html' AS page_key,
       regexp_extract(regexp_replace(url, '/+$', ''), '[^/]*$') AS segment FROM pages""",
     "page_currency": """SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'ARS' END AS structured,
       CASE page_id % 4 WHEN 1 THEN 'CLP' WHEN 2 THEN 'EUR' END AS storefront FROM pages""",
@@ -408,7 +408,7 @@ SQL = {
     "image_rewrite": f"""WITH {PART_SQL} SELECT pk, '<img src="https://d' || pk ||
       '.mitiendanube.com/f' || pk || '-320-320.webp"><img src="https://cdn.shopify.com/s/' || pk ||
       '.png' || CASE pk % 5 WHEN 1 THEN '?v=12&width=320' WHEN 2 THEN '?width=320&v=3'
-      WHEN 3 THEN '?v=1&width=320' ELSE '?width=320' END ||
+      WHEN 3 THEN '?v=1&width=320&x=2' ELSE '?width=320' END ||
       '"> https://other.com/a-10-20.jpg' AS html FROM c""",
     "page_nodes": f"""WITH {PART_SQL} SELECT base || '/p/g-' || pk || '/' AS url,
       CAST(CASE k % 6 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 1 WHEN 5 THEN 2 ELSE 0 END AS BIGINT)
