@@ -286,8 +286,8 @@ def near_duplicates(
     )
     mixed = labelled.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high"))
     still = labelled.join(mixed.where("low < high").select("band"), "band")
-    bits = [F.col("parity")[i].alias(f"p{i}") for i in range(PARITY)]
-    bitmaps = rows.select(F.col("row").alias("cid"), *bits)
+    bits = [F.get("parity", F.lit(i)).alias(f"p{i}") for i in range(PARITY)]
+    bitmaps = filled.select(F.col("row").alias("cid"), *bits)
     open_members = written_table(still.join(bitmaps, "cid"), "open")
     other = open_members.select(
         "band", F.col("cid").alias("y"), F.col("n_shingles").alias("y_size"), F.col("root").alias("y_root"),
