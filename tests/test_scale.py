@@ -73,13 +73,13 @@ def test_pair_join_splits_a_hot_product(spark, conf, tmp_path):
 def test_first_slice_filter_reaches_the_scan(spark, tmp_path):
     path = str(tmp_path / "obs")
     hot_observations(spark, 900).write.parquet(path)
-    shown = plan(presence.first_slice(spark.read.parquet(path)).select("product_id"))
+    shown = plan(presence.first_slice(spark.read.parquet(path), None).select("product_id"))
     assert "EqualTo(snap_ord,1)" in shown
     schema = re.search(r"ReadSchema: struct<([^>]*)>", shown).group(1)
     assert set(schema.split(",")) == {"product_id:string", "snap_ord:int"}
 
 
-def test_last_slice_skips_days_of_a_stored_table(spark, shop, tmp_path):
+def test_end_slices_skip_days_of_a_stored_table(spark, shop, tmp_path):
     observations, snapshots = shop(
         *[(day, [{"id": 1, "stock": 9 - day, "price": 1}]) for day in range(5)]
     )
@@ -88,9 +88,10 @@ def test_last_slice_skips_days_of_a_stored_table(spark, shop, tmp_path):
     tables.write_observations(observations.join(at, ["store_id", "snap_ord"]), path)
     snapshots.write.parquet(heads)
     rows, snapshots = tables.read_observations(spark, path), spark.read.parquet(heads)
-    last = presence.last_slice(rows, snapshots)
-    assert "dynamicpruning" in plan(last)
-    assert [r.stock for r in last.collect()] == [5]
+    for end, stock in ((presence.last_slice, 5), (presence.first_slice, 9)):
+        found = end(rows, snapshots)
+        assert "dynamicpruning" in plan(found)
+        assert [r.stock for r in found.collect()] == [stock]
 
 
 def test_pair_aggregates_hash_and_columns_are_pruned(spark, tmp_path):

@@ -35,9 +35,22 @@ def last_slice(observations: DataFrame, snapshots: DataFrame) -> DataFrame:
     return observations.join(last_ordinals(snapshots).select(*keys), keys)
 
 
-def first_slice(observations: DataFrame) -> DataFrame:
-    """Rows of each store's first snapshot; the filter reaches the scan."""
-    return observations.where(F.col("snap_ord") == FIRST)
+def first_ordinals(snapshots: DataFrame) -> DataFrame:
+    """Number and day of each store's first snapshot."""
+    first = snapshots.where(F.col("snap_ord") == FIRST)
+    return first.select("store_id", "snap_ord", F.to_date("scraped_at").alias(DAY))
+
+
+def first_slice(observations: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """Rows of each store's first snapshot.
+
+    The filter reaches the scan where the number is stored. In a table stored by day the
+    day joins, which lets Spark skip the folders of days that are no store's first.
+    """
+    rows = observations.where(F.col("snap_ord") == FIRST)
+    if DAY in observations.columns:
+        rows = rows.join(first_ordinals(snapshots), ["store_id", "snap_ord", DAY])
+    return rows
 
 
 def listed_products(rows: DataFrame) -> DataFrame:
@@ -56,7 +69,7 @@ def effective_availability(available: Column, stock: Column) -> Column:
 
 def availability_changes(observations: DataFrame, snapshots: DataFrame) -> DataFrame:
     """Products available at one end and not at the other: `sold_out` or `back`."""
-    first = last_rows(first_slice(observations), "available", "stock").select(
+    first = last_rows(first_slice(observations, snapshots), "available", "stock").select(
         *PRODUCT_KEY,
         effective_availability(F.col("available"), F.col("stock")).alias("was_available"),
     )
@@ -79,7 +92,7 @@ def availability_changes(observations: DataFrame, snapshots: DataFrame) -> DataF
 
 def new_products(observations: DataFrame, snapshots: DataFrame) -> DataFrame:
     """Rows of the last snapshot whose product is not in the first."""
-    seen = listed_products(first_slice(observations))
+    seen = listed_products(first_slice(observations, snapshots))
     return (
         last_slice(observations, snapshots)
         .join(seen, PRODUCT_KEY, "left_anti")
@@ -96,7 +109,7 @@ def new_products(observations: DataFrame, snapshots: DataFrame) -> DataFrame:
 def discontinued_products(observations: DataFrame, snapshots: DataFrame) -> DataFrame:
     """Distinct products of the first snapshot that the last one lacks."""
     still = listed_products(last_slice(observations, snapshots))
-    return listed_products(first_slice(observations)).join(still, PRODUCT_KEY, "left_anti")
+    return listed_products(first_slice(observations, snapshots)).join(still, PRODUCT_KEY, "left_anti")
 
 
 def lifetime_best_sellers(

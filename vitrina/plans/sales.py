@@ -145,14 +145,30 @@ def displayed_kpis(kpis: DataFrame) -> DataFrame:
     )
 
 
-def product_detail(observations: DataFrame, deltas: DataFrame) -> DataFrame:
-    """Every product that sold, with its revenue and first and last known stock."""
-    totals = rollups.product_totals(deltas).where(F.col("sold") > 0)
-    return totals.join(rollups.product_facts(observations), PRODUCT_KEY).select(
+def product_rollup(observations: DataFrame, deltas: DataFrame) -> DataFrame:
+    """Every product that sold or was restocked: its sums, name and known stock."""
+    moved = (F.col("sold") > 0) | (F.col("restocked") > 0)
+    totals = rollups.product_totals(deltas).where(moved)
+    return totals.join(rollups.product_facts(observations), PRODUCT_KEY)
+
+
+def sold_products(rollup: DataFrame) -> DataFrame:
+    return rollup.where(F.col("sold") > 0).select(
         *PRODUCT_KEY, "name", "sold", "revenue", "from_stock", "to_stock", "first_sale"
     )
 
 
+def restocked_products(rollup: DataFrame) -> DataFrame:
+    return rollup.where(F.col("restocked") > 0).select(
+        *PRODUCT_KEY, "name", F.col("restocked").alias("restock"), "first_restock"
+    )
+
+
+def product_detail(observations: DataFrame, deltas: DataFrame) -> DataFrame:
+    """Every product that sold, with its revenue and first and last known stock."""
+    return sold_products(product_rollup(observations, deltas))
+
+
 def _sold_order() -> list[Column]:
     return [F.col("sold").desc(), F.col("first_sale")]
 
@@ -174,10 +190,7 @@ def bar_share(top: DataFrame, value: str, group: Sequence[str] = ("store_id",))
 
 def restock_list(observations: DataFrame, deltas: DataFrame) -> DataFrame:
     """Products seen to re-enter stock, with the units."""
-    totals = rollups.product_totals(deltas).where(F.col("restocked") > 0)
-    return totals.join(rollups.product_facts(observations), PRODUCT_KEY).select(
-        *PRODUCT_KEY, "name", F.col("restocked").alias("restock"), "first_restock"
-    )
+    return restocked_products(product_rollup(observations, deltas))
 
 
 def period_trend(
@@ -212,21 +225,19 @@ def listing(df: DataFrame, kind: str) -> DataFrame:
     return df.orderBy("store_id", *[term(text) for text in LIST_ORDER[kind]])
 
 
-def sales_report(
-    observations: DataFrame, snapshots: DataFrame, keep_deltas: bool = True
-) -> dict[str, DataFrame]:
-    """All result tables. The pair deltas feed several of them, so they are written once
-    to the shared folder, where each table reads the columns it needs.
+def sales_report(observations: DataFrame, snapshots: DataFrame) -> dict[str, DataFrame]:
+    """All result tables. The snapshot list, the pair deltas, the KPI row of each store and
+    the product sums feed several of them, so each is written once to the shared folder.
 
     Only the snapshot list is cut to comparable stores: the other stores have no pairs
     and no row in the list, so their observations reach no result.
     """
     snapshots = snapshots.join(comparable_stores(snapshots), "store_id", "left_semi")
-    deltas = pair_deltas(observations).select(*DELTA_COLUMNS)
-    if keep_deltas:
-        deltas = written_table(deltas, "pair_deltas")
-    kpis = store_kpis(observations, snapshots, deltas)
-    detail = product_detail(observations, deltas)
+    snapshots = written_table(snapshots, "compared_snapshots")
+    deltas = written_table(pair_deltas(observations).select(*DELTA_COLUMNS), "pair_deltas")
+    kpis = written_table(store_kpis(observations, snapshots, deltas), "kpis")
+    rollup = written_table(product_rollup(observations, deltas), "product_rollup")
+    detail = sold_products(rollup)
     trend = period_trend(observations, snapshots, deltas)
     return {
         "kpis": kpis,
@@ -236,7 +247,7 @@ def sales_report(
         "product_detail": listing(detail, "product_detail"),
         "top_sellers": top_sellers(detail),
         "top_revenue": top_revenue(detail),
-        "restocks": listing(restock_list(observations, deltas), "restocks"),
+        "restocks": listing(restocked_products(rollup), "restocks"),
         "new_products": listing(
             presence.new_products(observations, snapshots), "new_products"
         ),

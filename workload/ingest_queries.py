@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vitrina.functions.dates import output_name
+from vitrina.plans import sales
+from vitrina.session import scratch_path, written_table
 from vitrina.sources import export
 from vitrina.sources.snapshots import load_snapshots, parse_documents
+from vitrina.sources.tables import read_observations, write_observations
 from workload import captures
 from workload.captures import PART_SQL
 from workload.catalog_queries import CATALOG
@@ -143,6 +146,27 @@ def snapshot_documents(spark, sf):
     )
 
 
+def _report(spark, sf):
+    """Documents read, stored by day, and compared from the stored tables."""
+    loaded = load_snapshots(documents(spark, sf))
+    path = scratch_path(spark, "stored_observations")
+    write_observations(loaded.observations, path)
+    stored = written_table(loaded.snapshots, "stored_snapshots")
+    return sales.sales_report(read_observations(spark, path), stored)
+
+
+def report_kpis(spark, sf):
+    return tidy(_report(spark, sf)["kpis"])
+
+
+def report_products(spark, sf):
+    return tidy(_report(spark, sf)["product_detail"].drop("first_sale"))
+
+
+def report_trend(spark, sf):
+    return tidy(_report(spark, sf)["period_trend"].select("store_id", "period", "sold"))
+
+
 def output_names(spark, sf):
     shops = captures.stores(spark, sf)
     name = output_name(export.REPORT_KIND, F.concat("brand", F.lit(" Ñandú")), F.col("scraped_at"))
@@ -218,6 +242,16 @@ SQL = {
     stock_total AS stock, sold_qty, row_number() OVER (PARTITION BY store_id
       ORDER BY available DESC, name, pos, url, id) AS place
     FROM placed JOIN shops USING (store_id)""",
+    "report_kpis": SNAP
+    + """SELECT * REPLACE (CAST(sold AS DOUBLE) AS sold,
+      CAST(lifetime_units AS DOUBLE) AS lifetime_units) FROM kpis""",
+    "report_products": SNAP
+    + """SELECT store_id, product_id, name, CAST(sold AS DOUBLE) AS sold,
+    CAST(revenue AS DOUBLE) AS revenue, CAST(from_stock AS DOUBLE) AS from_stock,
+    CAST(to_stock AS DOUBLE) AS to_stock FROM prod JOIN fact USING (product_id) WHERE sold > 0""",
+    "report_trend": SNAP
+    + """SELECT store_id, period, CAST(trend.sold AS DOUBLE) AS sold FROM trend
+    JOIN kpis USING (store_id) WHERE n_scraps >= 3 AND NOT availability_only""",
     "output_names": f"WITH {PART_SQL}"
     + _STORES
     + """SELECT store_id, 'Sales_' || replace(brand, ' ', '_') || '_Nandu_' || stamp
