@@ -239,6 +239,20 @@ def test_language_held_out_accuracy(spark):
     assert pairs.join(docs, "doc_id").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.97
 
 
+def test_slots_of_a_long_text_do_not_depend_on_the_stretch(monkeypatch):
+    rng = np.random.default_rng(3)
+    data = rng.integers(97, 104, 5_003).astype(np.uint8)
+    starts = np.array([0, len(data)])
+    wanted = np.zeros(1 << toxicity.SLOT_BITS, bool)
+    wanted[::3] = True
+    for some in (None, wanted):
+        whole = toxicity.row_slots(data, starts, some)
+        with monkeypatch.context() as m:
+            m.setattr(toxicity, "STRETCH", 100)
+            cut = toxicity.row_slots(data, starts, some)
+        assert np.array_equal(whole[0], cut[0]) and np.array_equal(whole[1], cut[1])
+
+
 def test_toxicity(spark, docs, none):
     clean = [(i, f"a calm note number {i} about the garden", None, None, None, None, None) for i in range(60)]
     rude = [(100 + i, f"you wretched fool number {i} go away", None, None, None, None, None) for i in range(20)]

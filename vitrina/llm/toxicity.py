@@ -28,6 +28,8 @@ CLEAR = 2.5
 #: N-grams that the classifier uses at most, those with the clearest ratios.
 FEATURES = 4096
 LEAST_TEXTS = 3
+#: Bytes of text whose n-grams are worked out at a time.
+STRETCH = 1 << 18
 PENALTY = 1.0
 TOXIC_FROM = 0.3
 
@@ -46,8 +48,25 @@ def gram_slots(data: np.ndarray, starts: np.ndarray, order: int) -> np.ndarray:
     return slots
 
 
+def _long_row_slots(data: np.ndarray, wanted: np.ndarray | None) -> np.ndarray:
+    """Distinct slots of one long text, by overlapping stretches that share a bitmap."""
+    held = np.zeros(1 << SLOT_BITS, bool)
+    for order in ORDERS:
+        for at in range(0, len(data), STRETCH):
+            part = data[at : at + STRETCH + order - 1]
+            slots = gram_slots(part, np.array([0, len(part)]), order)
+            held[slots[slots >= 0]] = True
+    return np.flatnonzero(held if wanted is None else held & wanted)
+
+
 def row_slots(data: np.ndarray, starts: np.ndarray, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Row and slot of each distinct n-gram of a block's rows; of `wanted` slots only if given."""
+    """Row and slot of each distinct n-gram of a block's rows; of `wanted` slots only if given.
+
+    Memory follows `STRETCH`: a block is no longer, or is one row.
+    """
+    if len(data) > STRETCH and len(starts) == 2:
+        slots = _long_row_slots(data, wanted)
+        return np.zeros(len(slots), np.int64), slots
     pairs = []
     for order in ORDERS:
         slots = gram_slots(data, starts, order)
@@ -78,7 +97,7 @@ def _slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """slot, toxic, texts: how many of the task's texts of each label hold the n-gram."""
     counts = np.zeros((2, 1 << SLOT_BITS), np.int32)
     for batch in batches:
-        for first, end, data, starts in blocks(batch.column(1)):
+        for first, end, data, starts in blocks(batch.column(1), STRETCH):
             label = np.array(batch.column(0).slice(first, end - first))
             row, slot = row_slots(data, starts)
             for side in (0, 1):
@@ -96,7 +115,7 @@ def _slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _features(wanted: np.ndarray):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, end, data, starts in blocks(batch.column(1)):
+            for first, end, data, starts in blocks(batch.column(1), STRETCH):
                 row, slot = row_slots(data, starts, wanted)
                 edges = np.searchsorted(row, np.arange(end - first + 1)).astype(np.int32)
                 slots = pa.ListArray.from_arrays(pa.array(edges), pa.array(slot.astype(np.int32)))
@@ -196,7 +215,7 @@ def score_toxicity(
         held = shared.value
         weights, wanted = held.dense() if held is not None else (None, None)
         for batch in batches:
-            for first, end, data, starts in blocks(batch.column(1)):
+            for first, end, data, starts in blocks(batch.column(1), STRETCH):
                 scores = np.zeros(end - first)
                 if held is not None:
                     row, slot = row_slots(data, starts, wanted)
