@@ -30,7 +30,8 @@ ROWS = 6
 BANDS = 2 * PERMUTATIONS // ROWS
 SHINGLE_WORDS = 5
 SIMILARITY = (80, 100)
-LEADER_ROUNDS = 2
+#: Rounds differ in cost only: pairs that no round links are all considered afterwards.
+LEADER_ROUNDS = 4
 #: Longs of a parity bitmap.
 PARITY = 8
 
