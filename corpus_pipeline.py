@@ -14,7 +14,7 @@ from vitrina.session import written_table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a recognised language go: null texts and texts without a letter."""
+    """Documents in no learned language go: noise, foreign texts, null texts and texts without a letter."""
     return language.keep_identified(docs, language.train(docs))
 
 

@@ -1,5 +1,6 @@
 """Every operator on a small table with nulls, empty and long texts, ties, repeats and odd columns."""
 
+import base64
 import hashlib
 import itertools
 import math
@@ -239,6 +240,29 @@ def test_language_held_out_accuracy(spark):
     assert pairs.join(docs, "doc_id").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.97
 
 
+def test_rows_in_no_language_go(spark):
+    docs = common.read_documents(spark, "/root/testdata/sf0.01").where("length(text) > 0")
+    rng = np.random.default_rng(1)
+    raw = [rng.bytes(90) for _ in range(20)]
+    noise = [base64.b64encode(b).decode() for b in raw] + [b.hex() for b in raw]
+    noise += ["".join(rng.choice(list("#$%&*!@()[]<>|/+=-~ 0123456789"), 120)) + " x" for _ in range(20)]
+    noise += ["for (int i = 0; i < n; i++) { a[i] += b[i] * c[i]; }", "### %%% x &&& *** ### $$$ %%%"]
+    noise += ["Быстрая коричневая лиса прыгает через ленивую собаку", "日本語の文章です。今日は天気がいいですね。"]
+    added = spark.createDataFrame([(-1 - i, t) for i, t in enumerate(noise)], "doc_id long, text string")
+    table = docs.unionByName(added, allowMissingColumns=True)
+    kept = corpus_pipeline.language_id(spark, table, "").select("doc_id").collect()
+    assert min(r.doc_id for r in kept) >= 0
+    model = language.train(docs.where(common.fold("doc_id", 4) != 2))
+    held_out = docs.where(common.fold("doc_id", 4) == 2)
+    assert language.keep_identified(held_out, model).count() >= 0.998 * held_out.count()
+
+
+def test_without_labels_texts_with_a_letter_stay(docs):
+    unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
+    kept = language.keep_identified(unlabelled, language.train(unlabelled))
+    assert kept.count() == len(ROWS) - 3
+
+
 def test_slots_of_a_long_text_do_not_depend_on_the_stretch(monkeypatch):
     rng = np.random.default_rng(3)
     data = rng.integers(97, 104, 5_003).astype(np.uint8)

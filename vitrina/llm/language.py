@@ -4,10 +4,14 @@ Features are the shares of hashed byte n-grams of a whole text, ASCII letters in
 linear support vector machine for each family decides against all others (two families share one); within a
 family one machine per pair of languages votes. Every decision is linear in the shares, so a text's
 margin is the mean weight of its n-grams, and scoring needs no vector per document.
+
+Machines only tell languages apart. Whether a text is in a learned language at all is decided by
+the share of its n-grams that hold a letter and that the language's texts commonly have.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from itertools import combinations
@@ -36,6 +40,16 @@ TEXTS_PER_LANGUAGE = 500
 EPOCHS = 12
 PENALTY = 1e-4
 HAS_LETTER = r"\p{L}"
+#: Orders of the n-grams whose share decides whether a text is in a language.
+KNOWN_ORDERS = (3, 4)
+#: A language knows the n-grams that this share of its texts hold, and two texts at least.
+COMMON = 0.01
+#: Texts are rejected below this part of the median share of the language's own texts.
+FLOOR = 0.4
+#: A language learned from fewer texts rejects nothing.
+LEAST_TEXTS = 50
+IS_LETTER = np.arange(256) >= 128
+IS_LETTER[65:91] = IS_LETTER[97:123] = True
 
 
 def gram_slots(data: np.ndarray, order: int) -> np.ndarray:
@@ -53,15 +67,27 @@ def all_slots(data: np.ndarray) -> Iterator[np.ndarray]:
         yield gram_slots(data, order) + (number << SLOT_BITS)
 
 
+def lettered(data: np.ndarray, order: int) -> np.ndarray:
+    """Whether the n-gram that starts at each byte holds a letter."""
+    held = np.concatenate((IS_LETTER[data], np.zeros(order - 1, bool)))
+    return np.logical_or.reduce([held[i : i + len(data)] for i in range(order)])
+
+
 @dataclass
 class LanguageModel:
-    """Weights by slot and machine, with a slope and shift per machine that make margins odds."""
+    """Weights by slot and machine, with a slope and shift per machine that make margins odds.
+
+    `known` marks the slots that each of `languages` knows, `floors` the share that its texts need.
+    """
 
     families: list[list[str]]
     machines: list[tuple]  # ("family", number, None) or ("pair", language, language)
     weights: np.ndarray
     slopes: np.ndarray
     shifts: np.ndarray
+    languages: list[str]
+    known: np.ndarray
+    floors: np.ndarray
 
     def odds(self, margins: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slopes * margins + self.shifts, -30, 30)))
@@ -94,6 +120,22 @@ class LanguageModel:
         return list(out), sure
 
 
+def recognised(model: LanguageModel, names: Sequence[str], data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Whether each row is in a learned language.
+
+    Some language must know enough of its n-grams; one without a floor counts for the rows it
+    was given by `names`.
+    """
+    size = np.maximum(np.diff(starts), 1) * len(KNOWN_ORDERS)
+    share = np.zeros((len(model.languages), len(starts) - 1))
+    for order in KNOWN_ORDERS:
+        slots, held = gram_slots(data, order) + (ORDERS.index(order) << SLOT_BITS), lettered(data, order)
+        for number in range(len(model.languages)):
+            share[number] += row_sums(model.known[number][slots] & held, starts) / size
+    given = np.array(model.languages, object)[:, None] == np.array(names, object)[None, :]
+    return ((share >= model.floors[:, None]) & (given | (model.floors > 0)[:, None])).any(0)
+
+
 def margins(model: LanguageModel, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     size = np.maximum(np.diff(starts), 1)
     out = np.zeros((len(starts) - 1, len(model.machines)))
@@ -104,18 +146,28 @@ def margins(model: LanguageModel, data: np.ndarray, starts: np.ndarray) -> np.nd
 
 
 def _shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """lang, slots, shares: the n-gram shares of each text; a text has at most the table's slots."""
+    """lang, slots, shares, own, own_shares: the n-gram shares of each text; a text has at most the
+    table's slots. The last two are those of KNOWN_ORDERS with a letter, among all of these orders."""
     for batch in batches:
         for first, end, data, starts in blocks(batch.column(1)):
             slots = list(all_slots(data))
-            out_slots, out_shares = [], []
+            orders = [ORDERS.index(order) for order in KNOWN_ORDERS]
+            held = [lettered(data, order) for order in KNOWN_ORDERS]
+            out_slots, out_shares, out_own, out_own_shares = [], [], [], []
             for a, b in zip(starts[:-1], starts[1:], strict=True):
                 found, count = np.unique(np.concatenate([s[a:b] for s in slots]), return_counts=True)
                 out_slots.append(found.astype(np.int32).tobytes())
                 out_shares.append((count / max(1, count.sum())).astype(np.float32).tobytes())
+                own = [slots[at][a:b][h[a:b]] for at, h in zip(orders, held, strict=True)]
+                found, count = np.unique(np.concatenate(own), return_counts=True)
+                out_own.append(found.astype(np.int32).tobytes())
+                out_own_shares.append((count / max(1, (b - a) * len(orders))).astype(np.float32).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(first, end - first), pa.array(out_slots, pa.binary()), pa.array(out_shares, pa.binary())],
-                ["lang", "slots", "shares"],
+                [
+                    batch.column(0).slice(first, end - first),
+                    *(pa.array(c, pa.binary()) for c in (out_slots, out_shares, out_own, out_own_shares)),
+                ],
+                ["lang", "slots", "shares", "own", "own_shares"],
             )
 
 
@@ -159,8 +211,21 @@ def _odds_line(found: np.ndarray, signs: np.ndarray) -> tuple[float, float]:
     return max(a, 1e-3) / spread, b
 
 
-def fit(examples: list[tuple[str, np.ndarray, np.ndarray]], families=FAMILIES) -> LanguageModel | None:
-    """The machines for (language, slots, shares) examples; None without examples."""
+def fit_known(texts: Sequence[tuple[np.ndarray, np.ndarray]], size: int) -> tuple[np.ndarray, float]:
+    """Slots that a language knows, and the floor of the shares; each text is measured by the others."""
+    held = np.zeros(size, np.int64)
+    for slots, _ in texts:
+        held[slots] += 1
+    least = max(2, math.ceil(COMMON * len(texts)))
+    if len(texts) < LEAST_TEXTS:
+        return held >= least, 0.0
+    return held >= least, FLOOR * float(np.median([shares[held[slots] > least].sum() for slots, shares in texts]))
+
+
+def fit(
+    examples: list[tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]], families=FAMILIES
+) -> LanguageModel | None:
+    """The machines for (language, slots, shares, own, own_shares) examples; None without examples."""
     examples = [e for e in examples if len(e[1])]
     languages = sorted({e[0] for e in examples})
     if not languages:
@@ -175,14 +240,16 @@ def fit(examples: list[tuple[str, np.ndarray, np.ndarray]], families=FAMILIES) -
     machines, fitted = [], []
     for number in range(len(members) if len(members) > 2 else len(members) - 1):
         machines.append(("family", number, None))
-        fitted.append(fit_machine([e[1:] for e in examples], np.where(own == number, 1, -1), size))
-    for languages in members:
-        for a, b in combinations(languages, 2):
+        fitted.append(fit_machine([e[1:3] for e in examples], np.where(own == number, 1, -1), size))
+    for group in members:
+        for a, b in combinations(group, 2):
             chosen = [e for e in examples if e[0] in (a, b)]
             machines.append(("pair", a, b))
-            fitted.append(fit_machine([e[1:] for e in chosen], np.array([1 if e[0] == a else -1 for e in chosen]), size))
+            fitted.append(fit_machine([e[1:3] for e in chosen], np.array([1 if e[0] == a else -1 for e in chosen]), size))
     weights = np.array([f[0] for f in fitted], np.float32).reshape(len(fitted), size)
-    return LanguageModel(members, machines, weights, np.array([f[1] for f in fitted]), np.array([f[2] for f in fitted]))
+    slopes, shifts = np.array([f[1] for f in fitted]), np.array([f[2] for f in fitted])
+    known, floors = zip(*(fit_known([e[3:] for e in examples if e[0] == lang], size) for lang in languages), strict=True)
+    return LanguageModel(members, machines, weights, slopes, shifts, languages, np.array(known), np.array(floors))
 
 
 def train(
@@ -200,8 +267,9 @@ def train(
         share = F.when(F.col("lang") == name, F.lit(min(1.0, per_language / n))).otherwise(share)
     draw = F.pmod(F.xxhash64("key"), F.lit(1_000_000)) / 1e6
     drawn = labelled.where((draw < share) & F.col("text").rlike(HAS_LETTER)).select("lang", "text")
-    rows = drawn.mapInArrow(_shares, "lang string, slots binary, shares binary").collect()
-    return fit([(r.lang, np.frombuffer(r.slots, np.int32), np.frombuffer(r.shares, np.float32)) for r in sorted(rows)])
+    schema = "lang string, slots binary, shares binary, own binary, own_shares binary"
+    rows, kinds = drawn.mapInArrow(_shares, schema).collect(), (np.int32, np.float32, np.int32, np.float32)
+    return fit([(r[0], *map(np.frombuffer, r[1:], kinds)) for r in sorted(rows)])
 
 
 def identify(docs: DataFrame, model: LanguageModel | None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -240,21 +308,24 @@ def identify(docs: DataFrame, model: LanguageModel | None, doc_id: str = "doc_id
 def keep_identified(
     docs: DataFrame, model: LanguageModel | None, text: str = "text", least_score: float = 0.0
 ) -> DataFrame:
-    """The rows of `docs` whose text has a language, with a score of at least `least_score`.
+    """The rows of `docs` whose text is in a learned language, with a score of at least `least_score`.
 
-    Texts that `identify` gives `und` are rejected. Rows keep all their columns, whatever
-    their names.
+    Null texts, texts without a letter and texts that the model does not recognise are rejected.
+    When nothing was learned (no row has a language) nothing can be told of texts with a letter,
+    and they stay. Rows keep all their columns, whatever their names.
     """
     place = docs.columns.index(text)
-    lettered = F.coalesce(F.col(text).rlike(HAS_LETTER), F.lit(False))
+    spoken = docs.where(F.coalesce(F.col(text).rlike(HAS_LETTER), F.lit(False)))
+    if model is None:
+        return spoken
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = shared.value
         for batch in batches:
             for first, end, data, starts in blocks(batch.column(place)):
-                if held is not None:
-                    _, scores = held.decide(margins(held, data, starts))
-                    yield batch.slice(first, end - first).filter(pa.array(scores >= least_score))
+                names, scores = held.decide(margins(held, data, starts))
+                stays = recognised(held, names, data, starts) & (scores >= least_score)
+                yield batch.slice(first, end - first).filter(pa.array(stays))
 
-    return docs.where(lettered).mapInArrow(rows, docs.schema)
+    return spoken.mapInArrow(rows, docs.schema)
