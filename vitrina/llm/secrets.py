@@ -1,6 +1,7 @@
 """Secret findings, with a random forest that removes false positives.
 
-A finding is a run of at least 16 characters of the key alphabet. Its features are its length,
+A finding is a run of at least 16 characters of the key alphabet, or a shorter value that is given
+to a credential word or stands as the password of an address. Its features are its length,
 the transitions between kinds of characters, the share of it that a dictionary of the corpus
 covers, the path it lies in, and the words around it. The forest is trained on labelled
 findings; `assured_labels` gives labels where nobody has looked at findings yet.
@@ -18,7 +19,9 @@ from vitrina.llm.common import count_floor, fold, whole_text, words
 from vitrina.session import written_table
 
 LEAST_LENGTH = 16
-CANDIDATE = rf"[A-Za-z0-9+/_=-]{{{LEAST_LENGTH},}}"
+#: Equal signs belong to a candidate at its end only, so `key=value` is two.
+CANDIDATE = rf"[A-Za-z0-9+/_-]{{{LEAST_LENGTH},}}+(?:={{1,2}}(?![A-Za-z0-9+/_\"'=-]))?"
+SHORT = r"""[^\s"'`,;(){}\[\]<>]{4,}"""
 #: The dictionary holds the most frequent words of the corpus, at most so many.
 DICTIONARY_WORDS = 4096
 GRAM = 4
@@ -28,6 +31,12 @@ KEPT_FROM = 0.5
 SEED = 7
 
 CREDENTIAL_WORDS = r"(?i)(token|secret|passw|pwd|api_?key|apikey|auth|bearer|credential|private)"
+KEY_WORD = r"(?i)(?:token|secret|passw|pwd|api_?key|apikey|auth|bearer|credential|private)[A-Za-z0-9_.-]*"
+GIVEN = r"""(?:[=:]>?|=>|\b(?i:bearer|basic))"""
+#: The words before a value, a value inside its word, and the password of an address.
+GIVEN_AHEAD = rf"""{KEY_WORD}["']?\s?[=:]+>?$|\b(?i:bearer|basic)$"""
+GIVEN_INSIDE = rf"""{KEY_WORD}["']?[=:]["']?({SHORT})"""
+ADDRESS_PASSWORD = r"://[^\s/:@]*:([^\s@/]+)@"
 DUMMY_WORDS = r"(?i)(example|sample|dummy|placeholder|changeme|xxxx|your[_-])"
 TEST_PATH = r"(?i)(test|spec|example|sample|fixture|doc)"
 
@@ -46,24 +55,39 @@ def findings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path:
     split = docs.select(
         F.col(doc_id).alias("doc_id"), F.col(path).alias("path"), words(whole_text(text)).alias("_words")
     )
+    near = lambda i: F.coalesce(F.get("_words", i), F.lit(""))
     around = F.transform(
         "_words",
         lambda w, i: F.when(
-            F.length(w) >= LEAST_LENGTH,
-            F.when(
-                w.rlike(CANDIDATE),
-                F.struct(
-                    i.cast("long").alias("word_number"),
-                    w.alias("inside"),
-                    F.coalesce(F.get("_words", i - 1), F.lit("")).alias("before"),
-                    F.coalesce(F.get("_words", i - 2), F.lit("")).alias("before2"),
-                    F.coalesce(F.get("_words", i + 1), F.lit("")).alias("after"),
-                ),
+            w.rlike(CANDIDATE)
+            | w.rlike(GIVEN_INSIDE)
+            | w.rlike(ADDRESS_PASSWORD)
+            | F.concat_ws(" ", near(i - 2), near(i - 1)).rlike(GIVEN_AHEAD),
+            F.struct(
+                i.cast("long").alias("word_number"),
+                w.alias("inside"),
+                near(i - 1).alias("before"),
+                near(i - 2).alias("before2"),
+                near(i + 1).alias("after"),
             ),
         ),
     )
     hits = split.select("doc_id", "path", F.inline(F.filter(around, lambda x: x.isNotNull())))
-    parts = F.posexplode(F.regexp_extract_all("inside", F.lit(CANDIDATE), 0)).alias("part_number", "candidate")
+    every = lambda pattern, group: F.regexp_extract_all("inside", F.lit(pattern), group)
+    ahead = F.concat_ws(" ", "before2", "before").rlike(GIVEN_AHEAD)
+    given = F.array_distinct(
+        F.concat(
+            every(ADDRESS_PASSWORD, 1),
+            F.when(F.col("inside").rlike(ADDRESS_PASSWORD), F.array().cast("array<string>")).otherwise(
+                F.concat(
+                    every(GIVEN_INSIDE, 1),
+                    F.when(ahead & ~F.col("inside").rlike(GIVEN_INSIDE), every(SHORT, 0)).otherwise(F.array().cast("array<string>")),
+                )
+            ),
+        )
+    )
+    short = F.filter(given, lambda v: v.rlike("[A-Za-z0-9]") & ~v.rlike(CANDIDATE) & ~v.rlike("(?i)^(bearer|basic)$"))
+    parts = F.posexplode(F.concat(every(CANDIDATE, 0), short)).alias("part_number", "candidate")
     return hits.select("*", parts)
 
 
@@ -104,8 +128,10 @@ def features(found: DataFrame, grams: DataFrame) -> DataFrame:
         (1 - _share(F.regexp_replace(c, r"(.)\1+", "$1"), c)).alias("repeats"),
         F.coalesce(F.col("path").rlike(TEST_PATH), F.lit(False)).cast("double").alias("path_test"),
         (F.length(c) - F.length(F.translate(c, "/", ""))).cast("double").alias("path_slashes"),
-        ahead.rlike(CREDENTIAL_WORDS).cast("double").alias("credential_before"),
-        ahead.rlike(r"[=:]\s*[\"']?$").cast("double").alias("assigned"),
+        (ahead.rlike(CREDENTIAL_WORDS) | (ahead.rlike(r"://[^\s/:@]*:$") & F.col("inside").rlike(ADDRESS_PASSWORD)))
+        .cast("double")
+        .alias("credential_before"),
+        ahead.rlike(rf"{GIVEN}\s*[\"']?$").cast("double").alias("assigned"),
         F.col("inside").rlike(r"[\"']").cast("double").alias("quoted"),
         around.rlike(DUMMY_WORDS).cast("double").alias("dummy_near"),
         F.col("after").rlike(r"^\p{L}*$").cast("double").alias("plain_after"),
@@ -123,19 +149,23 @@ def features(found: DataFrame, grams: DataFrame) -> DataFrame:
 
 
 def assured_labels(found: DataFrame) -> DataFrame:
-    """Labelled findings by form, for the training fold.
+    """Labelled findings by form, for the training fold; undecided findings are left out."""
+    labelled = found.where(fold("doc_id", 4) != 2).withColumn("label", assured())
+    return labelled.where(F.col("label").isNotNull())
+
+
+def assured() -> Column:
+    """1, 0 or null: what the form of a finding says.
 
-    A finding is labelled 1 when it is assigned to a credential word, quoted, has digits and
-    letters or is hexadecimal, and no dummy word is near; 0 otherwise.
+    1 when it is given to a credential word, has a digit, and no dummy word is near; 0 when a
+    dummy word is near or it is neither given nor near a credential word; null otherwise.
     """
-    sure = (
-        (F.col("credential_before") == 1)
-        & (F.col("assigned") == 1)
-        & (F.col("quoted") == 1)
-        & (F.col("digits") > 0)
-        & (F.col("dummy_near") == 0)
+    credential, assigned = F.col("credential_before") == 1, F.col("assigned") == 1
+    return (
+        F.when(F.col("dummy_near") == 1, F.lit(0.0))
+        .when(credential & assigned & (F.col("digits") > 0), F.lit(1.0))
+        .when(~credential & ~assigned, F.lit(0.0))
     )
-    return found.where(fold("doc_id", 4) != 2).withColumn("label", sure.cast("double"))
 
 
 def trained_forest(labelled: DataFrame, most: int = TRAINING_FINDINGS, trees: int = 20, depth: int = 6):
@@ -163,7 +193,7 @@ def scan_secrets(
     """All findings with their features, `score` (0 to 1) and `is_secret`.
 
     `labelled` has FEATURES and label; without it `assured_labels` of the training fold are
-    used. Texts without a finding and null or empty texts give no rows, nor does an empty table. A null path
+    used, and the forest decides what the form of a finding does not (`assured`). Texts without a finding and null or empty texts give no rows, nor does an empty table. A null path
     is no test path. Repeated rows give their findings again. Other columns are not read.
     """
     found = written_table(features(findings(docs, doc_id, text, path), dictionary(docs, text)), "features")
@@ -174,4 +204,6 @@ def scan_secrets(
         rows = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(found)
         scored = model.transform(rows).withColumn("score", vector_to_array("probability")[1])
         scored = scored.drop("features", "rawPrediction", "probability", "prediction")
+    if labelled is None:
+        scored = scored.withColumn("score", F.coalesce(assured(), F.col("score")))
     return scored.withColumn("is_secret", F.col("score") >= kept_from)
