@@ -13,6 +13,7 @@ from vitrina.llm import (
     lm,
     minhash,
     mixing,
+    negatives,
     packing,
     secrets,
     tokens,
@@ -101,6 +102,12 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read_documents(spark, sf_dir), shingle_words=4)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_documents(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine_negatives(rows.withColumn("label", moved), is_anchor=F.col("vec_id") % 100 == 0)
+
+
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_mixing": op2_mixing,
@@ -112,10 +119,12 @@ QUERIES = {
     "op8_language_id": op8_language_id,
     "op9_token_counts": op9_token_counts,
     "op10_minhash_dedup": op10_minhash_dedup,
+    "op11_hard_negatives": op11_hard_negatives,
 }
 
 SQL = {
     "op2_mixing": mixing.SQL,
     "op3_exact_dedup": exact_dedup.SQL,
     "op10_minhash_dedup": minhash.oracle(4),
+    "op11_hard_negatives": negatives.SQL,
 }
