@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitrina.llm import (
+    chat,
     exact_dedup,
     fingerprints,
     language,
@@ -15,6 +16,7 @@ from vitrina.llm import (
     mixing,
     negatives,
     packing,
+    resampling,
     secrets,
     tokens,
     toxicity,
@@ -108,6 +110,19 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mine_negatives(rows.withColumn("label", moved), is_anchor=F.col("vec_id") % 100 == 0)
 
 
+def op12_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, target = read_documents(spark, sf_dir), read_documents(spark, sf_dir, "benchmark")
+    return resampling.resample(docs, target).drop("n_words")
+
+
+def op13_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    turns = chat.with_conversation(
+        read_documents(spark, sf_dir, "conversations"), -1, [("user", said), ("assistant", said)]
+    )
+    return chat.conversation_digests(chat.formatted_pieces(turns))
+
+
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
     "op2_mixing": op2_mixing,
@@ -120,6 +135,8 @@ QUERIES = {
     "op9_token_counts": op9_token_counts,
     "op10_minhash_dedup": op10_minhash_dedup,
     "op11_hard_negatives": op11_hard_negatives,
+    "op12_target_resampling": op12_target_resampling,
+    "op13_chat_formatting": op13_chat_formatting,
 }
 
 SQL = {
@@ -127,4 +144,6 @@ SQL = {
     "op3_exact_dedup": exact_dedup.SQL,
     "op10_minhash_dedup": minhash.oracle(4),
     "op11_hard_negatives": negatives.SQL,
+    "op12_target_resampling": resampling.SQL,
+    "op13_chat_formatting": chat.oracle(),
 }
