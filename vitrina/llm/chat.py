@@ -170,17 +170,19 @@ PIECES = (
 )
 
 
-def _pieces(template: Template):
+def _pieces(template: Template, piece_bytes: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = 0
         for batch in batches:
             made_before, made = made, made + batch.num_rows
-            yield from _formatted(batch, template, made_before)
+            yield from _formatted(batch, template, piece_bytes, made_before)
 
     return rows
 
 
-def _formatted(batch: pa.RecordBatch, template: Template, numbered_from: int) -> Iterator[pa.RecordBatch]:
+def _formatted(
+    batch: pa.RecordBatch, template: Template, piece_bytes: int, numbered_from: int
+) -> Iterator[pa.RecordBatch]:
     """One piece for each stretch of turns of one conversation, of a bounded number of bytes."""
     names = batch["conv_id"]
     unknown = names.is_null().to_numpy(zero_copy_only=False)
@@ -189,7 +191,7 @@ def _formatted(batch: pa.RecordBatch, template: Template, numbered_from: int) ->
     row = 0
     while row < batch.num_rows:
         # rows whose texts make up about one piece are assembled at once
-        end = int(np.searchsorted(offsets, offsets[row] + PIECE_BYTES, "right")) - 1
+        end = int(np.searchsorted(offsets, offsets[row] + piece_bytes, "right")) - 1
         end = min(max(end, row + 1), batch.num_rows)
         turns = format_turns(batch["role"].slice(row, end - row), batch["text"].slice(row, end - row), template)
         own, lost = ids[row:end], unknown[row:end]
@@ -230,6 +232,7 @@ def format_conversations(
     role: str = "role",
     text: str = "text",
     template: Template = TEMPLATE,
+    piece_bytes: int = PIECE_BYTES,
 ) -> DataFrame:
     """conv_id, part, piece, n_turns, formatted, n_chars, loss_spans.
 
@@ -260,7 +263,7 @@ def format_conversations(
     ]
     dealt = named.repartitionByRange(*order).withColumn("part", F.spark_partition_id().cast("long"))
     ordered = dealt.sortWithinPartitions(*order)
-    return ordered.select("conv_id", "part", "role", "text").mapInArrow(_pieces(template), PIECES)
+    return ordered.select("conv_id", "part", "role", "text").mapInArrow(_pieces(template, piece_bytes), PIECES)
 
 
 # --- reading back --------------------------------------------------------------------------
