@@ -235,8 +235,7 @@ def test_arriving_files_are_appended_once(spark, tmp_path):
     inbox, store, marks = tmp_path / "inbox", str(tmp_path / "t"), str(tmp_path / "marks")
 
     def run():
-        for query in append_arrivals(arriving_documents(spark, str(inbox)), store, marks):
-            assert query.awaitTermination(120)
+        assert append_arrivals(arriving_documents(spark, str(inbox)), store, marks).awaitTermination(120)
         return stored_snapshots(spark, store)
 
     save(inbox / "shop", {"b.json": dataset(4, 6), "bad.json": "{"})

@@ -17,7 +17,7 @@ from vitrina.operators.adapters.common import (
     first_of,
     text_or_blank,
 )
-from vitrina.schemas import PRICE, SHOPIFY_FEED
+from vitrina.schemas import SHOPIFY_FEED, UNITS
 
 UNNAMED_OPTION = "Default Title"
 
@@ -44,7 +44,7 @@ def _labelled(variant: Column) -> Column:
     return F.struct(
         variant["size"].alias("size"),
         variant["sku"].alias("sku"),
-        F.lit(None).cast(PRICE).alias("stock"),
+        F.lit(None).cast(UNITS).alias("stock"),
         variant["available"].alias("available"),
         price_label(listed).alias("price_short"),
         F.when(on_sale, price_label(variant["price"])).alias("promo_short"),

@@ -2,16 +2,50 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitrina.operators.ordering import first_n
 from vitrina.operators.pairing import CELL_KEY, PRODUCT_KEY, last_rows
+from vitrina.session import written_table
 
 FIRST = 1
 DAY = "snapshot_date"
 
 
+# What the comparison of the ends needs.
+END_COLUMNS = [*CELL_KEY, "pos", "name", "stock", "sold_qty", "available"]
+
+
+@dataclass(frozen=True)
+class Ends:
+    """Rows of each store's first and of its last snapshot, cut once. Takes the place of the
+    observations wherever a function of this module asks for them."""
+
+    first: DataFrame
+    last: DataFrame
+
+
+def cut_ends(observations: DataFrame, snapshots: DataFrame) -> Ends:
+    """Both ends in one read of the observations, written to the shared folder.
+
+    In a table stored by day Spark skips the folders of all days that are no store's end.
+    """
+    last = last_ordinals(snapshots).withColumn("_end", F.lit("last"))
+    first = first_ordinals(snapshots).withColumn("_end", F.lit("first"))
+    keys = ["store_id", "snap_ord"] + ([DAY] if DAY in observations.columns else [])
+    places = last.unionByName(first).groupBy(*keys).agg(
+        F.bool_or(F.col("_end") == "first").alias("is_first"), F.bool_or(F.col("_end") == "last").alias("is_last")
+    )
+    # always true; Spark prunes folders at run time only for a side that is filtered
+    wanted = places.where(F.col("is_first") | F.col("is_last"))
+    rows = observations.select(*END_COLUMNS, *[k for k in keys if k == DAY]).join(wanted, keys)
+    cut = written_table(rows.select(*END_COLUMNS, "is_first", "is_last"), "ends")
+    return Ends(cut.where("is_first").select(*END_COLUMNS), cut.where("is_last").select(*END_COLUMNS))
+
+
 def last_ordinals(snapshots: DataFrame) -> DataFrame:
     """Number and day of each store's last snapshot."""
     last = snapshots.groupBy("store_id").agg(
@@ -22,13 +56,15 @@ def last_ordinals(snapshots: DataFrame) -> DataFrame:
     return last.where(F.col("snap_ord") >= FIRST)
 
 
-def last_slice(observations: DataFrame, snapshots: DataFrame) -> DataFrame:
+def last_slice(observations: DataFrame | Ends, snapshots: DataFrame) -> DataFrame:
     """Rows of each store's last snapshot.
 
     Joined on store and snapshot, so a large store is spread by snapshot when the
     list of stores is too long to broadcast. In a table stored by day the day joins
     too, which lets Spark skip the folders of days that are no store's last.
     """
+    if isinstance(observations, Ends):
+        return observations.last
     keys = ["store_id", "snap_ord"]
     if DAY in observations.columns:
         keys.append(DAY)
@@ -41,12 +77,14 @@ def first_ordinals(snapshots: DataFrame) -> DataFrame:
     return first.select("store_id", "snap_ord", F.to_date("scraped_at").alias(DAY))
 
 
-def first_slice(observations: DataFrame, snapshots: DataFrame) -> DataFrame:
+def first_slice(observations: DataFrame | Ends, snapshots: DataFrame) -> DataFrame:
     """Rows of each store's first snapshot.
 
     The filter reaches the scan where the number is stored. In a table stored by day the
     day joins, which lets Spark skip the folders of days that are no store's first.
     """
+    if isinstance(observations, Ends):
+        return observations.first
     rows = observations.where(F.col("snap_ord") == FIRST)
     if DAY in observations.columns:
         rows = rows.join(first_ordinals(snapshots), ["store_id", "snap_ord", DAY])

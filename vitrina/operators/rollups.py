@@ -11,21 +11,34 @@ from vitrina.functions.text import blank_to_null, trim
 from vitrina.operators.pairing import PRODUCT_KEY, history_place
 
 
-def product_facts(observations: DataFrame) -> DataFrame:
-    """Latest name, first and last known stock of every product, in one pass."""
+def stock_span(observations: DataFrame) -> DataFrame:
+    """First and last known stock of every product, and the place of its latest row.
+
+    Numbers only, so Spark hashes them and sorts nothing.
+    """
     at = history_place()
     known = F.when(F.col("stock").isNotNull(), at)
-    return (
-        observations.groupBy(*PRODUCT_KEY)
-        .agg(
-            F.max_by("name", at).alias("name"),
-            F.min_by("stock", known).alias("from_stock"),
-            F.max_by("stock", known).alias("to_stock"),
-        )
-        .withColumn("name", F.coalesce(blank_to_null(F.col("name")), F.col("product_id")))
+    return observations.groupBy(*PRODUCT_KEY).agg(
+        F.min_by("stock", known).alias("from_stock"),
+        F.max_by("stock", known).alias("to_stock"),
+        F.max(at).alias("latest"),
     )
 
 
+def product_facts(observations: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """Latest name, first and last known stock of every product, or of the `wanted` ones only.
+
+    The aggregate finds the place of the latest row, and a join takes the name from there:
+    names are never carried through the history. A name that is null or empty gives the id.
+    """
+    spans = stock_span(observations)
+    if wanted is not None:
+        spans = spans.join(wanted, PRODUCT_KEY)
+    names = observations.select(*PRODUCT_KEY, history_place().alias("latest"), "name")
+    named = spans.join(names, [*PRODUCT_KEY, "latest"]).drop("latest")
+    return named.withColumn("name", F.coalesce(blank_to_null(F.col("name")), F.col("product_id")))
+
+
 def product_totals(deltas: DataFrame) -> DataFrame:
     """Units, revenue and restocks per product, with the place of the first of each."""
     at = history_place()

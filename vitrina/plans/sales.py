@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import cached_property
+from typing import ClassVar
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,7 +12,8 @@ from pyspark.sql import functions as F
 from vitrina.operators import presence, rollups
 from vitrina.operators.ordering import first_n
 from vitrina.operators.pairing import CELL_KEY, PRODUCT_KEY, pair_deltas
-from vitrina.session import written_table
+from vitrina.session import joined_in_place, written_table
+from vitrina.sources.history import History, store_deltas, store_history
 
 # What the report needs of a pair.
 DELTA_COLUMNS = [*CELL_KEY, "pos", "sold_delta", "sold", "restocked", "revenue"]
@@ -148,8 +151,15 @@ def displayed_kpis(kpis: DataFrame) -> DataFrame:
 def product_rollup(observations: DataFrame, deltas: DataFrame) -> DataFrame:
     """Every product that sold or was restocked: its sums, name and known stock."""
     moved = (F.col("sold") > 0) | (F.col("restocked") > 0)
-    totals = rollups.product_totals(deltas).where(moved)
-    return totals.join(rollups.product_facts(observations), PRODUCT_KEY)
+    return rollups.product_facts(observations, rollups.product_totals(deltas).where(moved))
+
+
+def stored_rollup(history: History, deltas: History) -> DataFrame:
+    """`product_rollup` of a stored history; no row of either is exchanged."""
+    rollup = product_rollup(history.regular, deltas.regular)
+    if history.crowded is None:
+        return rollup
+    return rollup.unionByName(product_rollup(history.crowded, deltas.crowded))
 
 
 def sold_products(rollup: DataFrame) -> DataFrame:
@@ -225,37 +235,78 @@ def listing(df: DataFrame, kind: str) -> DataFrame:
     return df.orderBy("store_id", *[term(text) for text in LIST_ORDER[kind]])
 
 
-def sales_report(observations: DataFrame, snapshots: DataFrame) -> dict[str, DataFrame]:
-    """All result tables. The snapshot list, the pair deltas, the KPI row of each store and
-    the product sums feed several of them, so each is written once to the shared folder.
+class SalesReport(Mapping):
+    """All result tables of a comparison by name.
+
+    The snapshot list, the history by product, the pair deltas, the rows of both ends, the KPI
+    row of each store and the product sums feed several tables. Each is written once to the
+    shared folder, when the first table that needs it is asked for.
 
-    Only the snapshot list is cut to comparable stores: the other stores have no pairs
-    and no row in the list, so their observations reach no result.
+    Only the snapshot list is cut to comparable stores: the other stores have no pairs and no
+    row in the list, so their observations reach no result.
     """
-    snapshots = snapshots.join(comparable_stores(snapshots), "store_id", "left_semi")
-    snapshots = written_table(snapshots, "compared_snapshots")
-    deltas = written_table(pair_deltas(observations).select(*DELTA_COLUMNS), "pair_deltas")
-    kpis = written_table(store_kpis(observations, snapshots, deltas), "kpis")
-    rollup = written_table(product_rollup(observations, deltas), "product_rollup")
-    detail = sold_products(rollup)
-    trend = period_trend(observations, snapshots, deltas)
-    return {
-        "kpis": kpis,
-        "displayed_kpis": displayed_kpis(kpis),
-        "method": method_label(kpis),
-        "period_trend": listing(trend_listing(trend, kpis), "period_trend"),
-        "product_detail": listing(detail, "product_detail"),
-        "top_sellers": top_sellers(detail),
-        "top_revenue": top_revenue(detail),
-        "restocks": listing(restocked_products(rollup), "restocks"),
-        "new_products": listing(
-            presence.new_products(observations, snapshots), "new_products"
-        ),
-        "availability_changes": listing(
-            presence.availability_changes(observations, snapshots), "availability_changes"
-        ),
-        "lifetime_best_sellers": presence.lifetime_best_sellers(
-            observations, snapshots, TOP_LIFETIME
+
+    def __init__(self, observations: DataFrame | History, snapshots: DataFrame):
+        self.observations, self.given = observations, snapshots
+
+    @cached_property
+    def snapshots(self) -> DataFrame:
+        comparable = comparable_stores(self.given)
+        return written_table(self.given.join(comparable, "store_id", "left_semi"), "compared_snapshots")
+
+    @cached_property
+    def history(self) -> History:
+        return self.observations if isinstance(self.observations, History) else store_history(self.observations)
+
+    @cached_property
+    def deltas(self) -> History:
+        return store_deltas(self.history, DELTA_COLUMNS)
+
+    @cached_property
+    def ends(self) -> presence.Ends:
+        rows = self.history.rows() if isinstance(self.observations, History) else self.observations
+        return presence.cut_ends(rows, self.snapshots)
+
+    @cached_property
+    def kpis(self) -> DataFrame:
+        return written_table(store_kpis(self.ends, self.snapshots, self.deltas.rows()), "kpis")
+
+    @cached_property
+    def rollup(self) -> DataFrame:
+        with joined_in_place(self.snapshots.sparkSession):
+            return written_table(stored_rollup(self.history, self.deltas), "product_rollup")
+
+    def period_trend(self) -> DataFrame:
+        trend = rollups.period_totals(self.deltas.rows(), self.snapshots)
+        return listing(trend_listing(trend, self.kpis), "period_trend")
+
+    TABLES: ClassVar = {
+        "kpis": lambda r: r.kpis,
+        "displayed_kpis": lambda r: displayed_kpis(r.kpis),
+        "method": lambda r: method_label(r.kpis),
+        "period_trend": period_trend,
+        "product_detail": lambda r: listing(sold_products(r.rollup), "product_detail"),
+        "top_sellers": lambda r: top_sellers(sold_products(r.rollup)),
+        "top_revenue": lambda r: top_revenue(sold_products(r.rollup)),
+        "restocks": lambda r: listing(restocked_products(r.rollup), "restocks"),
+        "new_products": lambda r: listing(presence.new_products(r.ends, r.snapshots), "new_products"),
+        "availability_changes": lambda r: listing(
+            presence.availability_changes(r.ends, r.snapshots), "availability_changes"
         ),
-        "brand_conflicts": rollups.brand_conflicts(snapshots),
+        "lifetime_best_sellers": lambda r: presence.lifetime_best_sellers(r.ends, r.snapshots, TOP_LIFETIME),
+        "brand_conflicts": lambda r: rollups.brand_conflicts(r.snapshots),
     }
+
+    def __getitem__(self, name: str) -> DataFrame:
+        return self.TABLES[name](self)
+
+    def __iter__(self):
+        return iter(self.TABLES)
+
+    def __len__(self) -> int:
+        return len(self.TABLES)
+
+
+def sales_report(observations: DataFrame | History, snapshots: DataFrame) -> SalesReport:
+    """All result tables, made as they are asked for."""
+    return SalesReport(observations, snapshots)

@@ -2,8 +2,9 @@
 
 from pyspark.sql import types as T
 
-# Money is exact so that sums do not depend on the order Spark adds them in.
-PRICE = T.DecimalType(18, 4)
+# Money is exact so that sums do not depend on the order Spark adds them in. Prices go up to
+# 10^20, for currencies of small value; with UNITS they multiply to decimal(38,6).
+PRICE = T.DecimalType(24, 4)
 # Stock and counters read from documents may carry a fraction (goods by weight).
 UNITS = T.DecimalType(18, 4)
 
@@ -44,12 +45,13 @@ VARIANTS_TYPE = (
 )
 
 # A saved snapshot document. `id` is text so that 1 and "1" are one product, and
-# `scrapedAt` is text because documents carry either ISO-8601 or epoch millis.
+# `scrapedAt` is text because documents carry either ISO-8601 or epoch millis. `price` is text
+# so that one that cannot be read is told from one that is missing.
 SNAPSHOT_DOCUMENT = (
     "platform string, brand string, source string, currency string, scrapedAt string, "
     "summary struct<stockTotal:decimal(18,4),stockKnown:bigint,"
-    "minPrice:decimal(18,4),maxPrice:decimal(18,4)>, "
-    "products array<struct<id:string,name:string,brand:string,price:decimal(18,4),"
+    "minPrice:decimal(24,4),maxPrice:decimal(24,4)>, "
+    "products array<struct<id:string,name:string,brand:string,price:string,"
     "stock:decimal(18,4),soldQty:decimal(18,4),available:boolean,"
     "variants:array<struct<size:string,stock:decimal(18,4),sku:string>>>>"
 )

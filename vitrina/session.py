@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,6 +31,23 @@ def build_session(app_name: str = "vitrina", master: str | None = None, **conf)
     return builder.getOrCreate()
 
 
+@contextmanager
+def joined_in_place(spark: SparkSession) -> Iterator[None]:
+    """Joins planned inside may use tables as they are stored, by some of the join's columns only.
+
+    For tables bucketed by product that are joined on more than the product. Not for joins in
+    general: a side that was grouped by store would deal the other by store as well, and a large
+    store would be one task's work.
+    """
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder; a temporary one on a local master only."""
     named = spark.conf.get("spark.checkpoint.dir", None)

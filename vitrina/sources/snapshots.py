@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from vitrina.functions.text import WS, blank_to_null
 from vitrina.operators.pairing import number_snapshots
 from vitrina.operators.rows import keep_computed
-from vitrina.schemas import SNAPSHOT_DOCUMENT
+from vitrina.schemas import PRICE, SNAPSHOT_DOCUMENT
+from vitrina.sources.buckets import bucketed_table
 
 # Fixed value: the element of an HTML report that carries its dataset. Reports already
 # saved are found by this id.
@@ -21,6 +22,8 @@ DEFAULT_BRAND = "Marca"
 PART_SUFFIX = r"\.part(\d+)(?=\.[^.]*$|$)"
 PART_STRIDE = 1 << 40
 SNAPSHOT_KEY = ["store_id", "snapshot_id"]
+# The parts of a large snapshot lie apart.
+DOCUMENT_KEY = [*SNAPSHOT_KEY, "part"]
 
 
 @dataclass(frozen=True)
@@ -28,6 +31,7 @@ class SnapshotTables:
     snapshots: DataFrame
     observations: DataFrame
     rejects: DataFrame
+    warnings: DataFrame
 
 
 def read_documents(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -75,7 +79,10 @@ def capture_time(text: Column) -> Column:
 
 
 def parse_documents(documents: DataFrame) -> DataFrame:
-    """Documents with their parsed body and every problem found in each."""
+    """Documents with their parsed body and every problem found in each.
+
+    A problem of `errors` rejects the document; `warnings` tell of values that read as unknown.
+    """
     stated = F.nullif(blank_to_null(F.col("doc.scrapedAt")), F.lit("0"))
     products = F.col("doc.products")
     nameless = F.size(F.filter(products, lambda p: p.isNull() | p["id"].isNull()))
@@ -102,6 +109,17 @@ def parse_documents(documents: DataFrame) -> DataFrame:
             ),
         )
     )
+    unreadable = F.size(
+        F.filter(products, lambda p: blank_to_null(p["price"]).isNotNull() & p["price"].try_cast(PRICE).isNull())
+    )
+    warnings = F.array_compact(
+        F.array(
+            problem(
+                readable & (unreadable > 0),
+                F.concat(unreadable.cast("string"), F.lit(" product(s) with an unreadable price")),
+            )
+        )
+    )
     # Wrapping the text in brackets makes trailing characters after the document an error.
     length = F.json_array_length(F.concat(F.lit("["), F.col("json"), F.lit("]")))
     is_object = F.regexp_extract(F.col("json"), rf"^{WS}*(.)", 1) == "{"
@@ -118,34 +136,45 @@ def parse_documents(documents: DataFrame) -> DataFrame:
             F.regexp_replace("source_file", PART_SUFFIX, "").alias("snapshot_id"),
             F.coalesce(part, F.lit(0)).alias("part"),
             problems.alias("errors"),
+            warnings.alias("warnings"),
             "scraped_at",
             F.coalesce(blank_to_null(F.col("doc.brand")), F.lit(DEFAULT_BRAND)).alias("brand"),
             blank_to_null(F.col("doc.platform")).alias("platform"),
             blank_to_null(F.col("doc.currency")).alias("currency"),
+            blank_to_null(F.col("doc.source")).alias("source"),
+            F.col("doc.summary.stockTotal").alias("stock_total"),
+            F.col("doc.summary.stockKnown").alias("stock_known"),
+            F.col("doc.summary.minPrice").alias("min_price"),
+            F.col("doc.summary.maxPrice").alias("max_price"),
             F.size(products).cast("bigint").alias("n_products"),
             products.alias("products"),
         )
     )
 
 
-def flatten_products(parsed: DataFrame) -> DataFrame:
-    """One row per product of the faultless documents, keeping its place in the document."""
+def flatten_products(parsed: DataFrame, *more: str) -> DataFrame:
+    """One row per product of the faultless documents, keeping its place in the document.
+
+    `more` are columns of the document that its rows keep.
+    """
     listed = F.when(F.size("errors") == 0, F.col("products"))
     return parsed.select(
         "store_id",
         "snapshot_id",
+        *more,
         "scraped_at",
         "part",
         F.posexplode(listed).alias("index", "product"),
     ).select(
         "store_id",
         "snapshot_id",
+        *more,
         "scraped_at",
         (F.col("part") * F.lit(PART_STRIDE) + F.col("index")).alias("pos"),
         F.col("product.id").alias("product_id"),
         F.col("product.name").alias("name"),
         F.col("product.brand").alias("brand"),
-        F.col("product.price").alias("price"),
+        F.col("product.price").try_cast(PRICE).alias("price"),
         F.col("product.stock").alias("stock"),
         F.col("product.soldQty").alias("sold_qty"),
         F.col("product.available").alias("available"),
@@ -189,17 +218,35 @@ def rejected_documents(headers: DataFrame) -> DataFrame:
     )
 
 
-def snapshot_tables(headers: DataFrame, rows: DataFrame) -> SnapshotTables:
-    """Product rows with their snapshot's number, without those of rejected snapshots."""
-    snapshots = valid_snapshots(headers)
+def warned_documents(headers: DataFrame) -> DataFrame:
+    """Documents with values that read as unknown, whether they are rejected or not."""
+    return keep_computed(headers.select("store_id", "source_file", "warnings"), F.size("warnings") > 0)
+
+
+def numbered_documents(headers: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """The number of the snapshot that each document is of; documents of rejected ones have none."""
     numbers = snapshots.select(*SNAPSHOT_KEY, "snap_ord")
-    return SnapshotTables(snapshots, rows.join(numbers, SNAPSHOT_KEY), rejected_documents(headers))
+    return headers.select(*DOCUMENT_KEY).distinct().join(numbers, SNAPSHOT_KEY).select(*DOCUMENT_KEY, "snap_ord")
+
+
+def snapshot_tables(parsed: DataFrame) -> SnapshotTables:
+    """All results of parsed documents, which are a stored table: headers read its short columns only.
+
+    Snapshots are numbered before their products become rows, and the numbers are stored as the
+    documents are, so that no product is exchanged for its number where the documents lie by
+    DOCUMENT_KEY.
+    """
+    headers = document_headers(parsed)
+    snapshots = valid_snapshots(headers)
+    numbers = bucketed_table(numbered_documents(headers, snapshots), "numbers", DOCUMENT_KEY)
+    rows = flatten_products(parsed.join(numbers, DOCUMENT_KEY), "snap_ord")
+    return SnapshotTables(snapshots, rows, rejected_documents(headers), warned_documents(headers))
 
 
 def load_snapshots(documents: DataFrame) -> SnapshotTables:
-    """Split documents into snapshots, their product rows, and rejects.
+    """Split documents into snapshots, their product rows, rejects and warnings.
 
-    A problem rejects the whole snapshot the document belongs to; others go on.
+    Every document is read and parsed once, into a table by document that all results come
+    from. A problem rejects the whole snapshot the document belongs to; others go on.
     """
-    parsed = parse_documents(documents)
-    return snapshot_tables(document_headers(parsed), flatten_products(parsed))
+    return snapshot_tables(bucketed_table(parse_documents(documents), "parsed", DOCUMENT_KEY))

@@ -3,19 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from vitrina.sources.snapshots import (
     SnapshotTables,
-    document_headers,
-    flatten_products,
     parse_documents,
     snapshot_tables,
     with_file_columns,
 )
-from vitrina.sources.tables import read_observations, with_day
 
-HEADERS, ROWS = "headers", "observations"
+PARSED = "parsed"
 
 
 def arriving_documents(spark: SparkSession, path: str, max_files: int = 10_000) -> DataFrame:
@@ -30,26 +28,22 @@ def arriving_documents(spark: SparkSession, path: str, max_files: int = 10_000)
     return with_file_columns(raw)
 
 
-def append_arrivals(documents: DataFrame, store: str, marks: str) -> list[StreamingQuery]:
-    """Document headers and product rows of the files that are there, each file once.
+def append_arrivals(documents: DataFrame, store: str, marks: str) -> StreamingQuery:
+    """Parsed documents of the files that are there, each file once and parsed once.
 
-    Two queries, so that each table has the file sink's exactly-once guarantee.
+    One table holds their headers and their products, with the file sink's exactly-once
+    guarantee, and lies by the day the files came in.
     """
-    parsed = parse_documents(documents)
-    writers = {
-        HEADERS: document_headers(parsed).writeStream,
-        ROWS: with_day(flatten_products(parsed)).writeStream.partitionBy("snapshot_date"),
-    }
-    return [
-        writer.format("parquet")
-        .option("checkpointLocation", f"{marks}/{name}")
+    parsed = parse_documents(documents).withColumn("arrived_on", F.current_date())
+    return (
+        parsed.writeStream.partitionBy("arrived_on")
+        .format("parquet")
+        .option("checkpointLocation", f"{marks}/{PARSED}")
         .trigger(availableNow=True)
-        .start(f"{store}/{name}")
-        for name, writer in writers.items()
-    ]
+        .start(f"{store}/{PARSED}")
+    )
 
 
 def stored_snapshots(spark: SparkSession, store: str) -> SnapshotTables:
     """The tables to compare. Snapshots are numbered here, whatever order they came in."""
-    headers = spark.read.parquet(f"{store}/{HEADERS}")
-    return snapshot_tables(headers, read_observations(spark, f"{store}/{ROWS}"))
+    return snapshot_tables(spark.read.parquet(f"{store}/{PARSED}").drop("arrived_on"))
