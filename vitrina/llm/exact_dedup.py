@@ -2,13 +2,15 @@
 
 Every input partition is one run of digests. In each round a run is cut by the next three bits
 of the digest, and the eight runs whose numbers differ in the same three bits exchange their
-pieces: each of them then holds one eighth of the digests of all eight. After the last round
-every digest is in one run, and no run ever holds more than its share of the digests, so the
-tree has no root that gathers the corpus. Runs are merged before they are sent, so a text that
-makes up a third of the corpus is one row per run in every round.
+pieces, each of which then holds one eighth of the digests of all eight. A run is one task: it
+sorts what it was sent by digest and id, so that the eight pieces are merged and equal digests
+are neighbours, and passes on the first row of each stretch of equal digests, which has the
+smallest id, with the stretch's sum of counts. After the last round every digest is in one run,
+and no run ever holds more than its share of the digests, so the tree has no root that gathers
+the corpus. A text that makes up a third of the corpus is one row per run from the first merge on.
 
 Two texts count as equal when SHA-256, length in bytes and a second hash all agree; every
-level of the tree merges by the three together.
+level of the tree compares the three together.
 """
 
 from __future__ import annotations
@@ -53,15 +55,26 @@ def merged_runs(rows: DataFrame) -> DataFrame:
     for level in range(rounds):
         cut = ((1 << MERGE_BITS) - 1) << (MERGE_BITS * level)
         stays = F.col("run").bitwiseAND(((1 << bits) - 1) ^ cut)
-        runs = (
-            runs.withColumn("run", stays.bitwiseOR(home.bitwiseAND(cut)))
-            .groupBy("run", *KEY)
-            .agg(F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
-            .sortWithinPartitions("run", *KEY)
-        )
+        sent = runs.withColumn("run", stays.bitwiseOR(home.bitwiseAND(cut)).cast("int"))
+        runs = merged(sent.repartitionById(1 << bits, F.col("run")))
     return runs.drop("run")
 
 
+def merged(runs: DataFrame) -> DataFrame:
+    """Runs, each in a partition of its own, sorted by digest and id, with one row per digest.
+
+    The window needs no exchange, as a run is in one partition, and runs along the sort order.
+    """
+    along = Window.partitionBy("run", *KEY).orderBy(F.col("keep_id").asc_nulls_last())
+    stretch = along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return (
+        runs.withColumn("_place", F.row_number().over(along))
+        .withColumn("_sum", F.sum("group_size").over(stretch))
+        .where("_place = 1")
+        .select("run", *KEY, "keep_id", F.col("_sum").alias("group_size"))
+    )
+
+
 def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of `docs`: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -83,7 +96,12 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of `docs` that stay, one for each distinct text, with all their columns."""
+    """The rows of `docs` that stay, one for each distinct text, with all their columns.
+
+    A null text counts as empty, and of all empty texts one row stays. Of rows that repeat both
+    id and text one stays, by a hash of the whole row. A group whose ids are all null keeps one
+    row. Texts are compared whole. An empty table gives no rows. Columns may have any names.
+    """
 
     def key(identity: Column, digest: Column) -> Column:
         return F.concat_ws(":", F.coalesce(identity.cast("string"), F.lit("-")), digest).alias("_key")
@@ -92,10 +110,9 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     keys = staying.select(key(F.col("doc_id"), F.col("text_sha256"))).distinct()
     plain = F.regexp_replace(whole_text(text), SPACES, " ")
     rows = docs.select(F.struct("*").alias("_row"), key(F.col(doc_id), F.sha2(plain.cast("binary"), 256)))
-    # Rows that repeat an id and a text meet under one key; the join has already dealt rows by it.
-    one = Window.partitionBy("_key").orderBy("_key")
-    left = rows.join(keys, "_key", "left_semi").withColumn("_number", F.row_number().over(one))
-    return left.where("_number = 1").select("_row.*")
+    # repeats of one row are taken together before they are sent
+    left = rows.join(keys, "_key", "left_semi").groupBy("_key").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row"))
+    return left.select("_row.*")
 
 
 SQL = r"""
