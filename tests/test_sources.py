@@ -231,6 +231,43 @@ def test_local_product_urls(spark):
     assert [r.url for r in got] == [f"{base}/productos/a/"]
 
 
+def test_sitemaps_are_searched_once(spark, tmp_path, monkeypatch):
+    base, path = "https://t", str(tmp_path / "maps")
+    bases = spark.createDataFrame([("t", base, None)], "store_id string, base string, body string")
+    spark.createDataFrame(
+        [
+            ("t", f"{base}/sitemap.xml", sitemap("sitemapindex", f"{base}/m.xml", f"{base}/m.xml")),
+            ("t", f"{base}/m.xml", sitemap("urlset", f"{base}/productos/a/")),
+            ("t", f"{base}/empty.xml", ""),
+        ],
+        "store_id string, url string, xml string",
+    ).write.parquet(path)
+    searched = []
+    real = sitemaps.read_locations
+    monkeypatch.setattr(sitemaps, "read_locations", lambda saved: searched.append(1) or real(saved))
+    saved = spark.read.parquet(path)
+    local = sitemaps.local_product_urls(bases.select("store_id", "base"), saved)
+    assert searched == [1] and [r.url for r in local.collect()] == [f"{base}/productos/a/"]
+    locations = sitemaps.location_table(saved)
+    listed = sitemaps.listed_urls(sitemaps.reachable_sitemaps(bases, locations), locations)
+    chosen = sitemaps.product_urls(listed, bases.select("store_id", "base"))
+    assert searched == [1, 1] and chosen.count() == 1
+    for df in (local, chosen):
+        shown = df._jdf.queryExecution().executedPlan().toString()
+        assert "regexp_extract_all" not in shown and path not in shown
+
+
+def test_indexes_that_name_each_other_are_walked_once(spark):
+    base = "https://s"
+    urls = [f"{base}/sitemap.xml", *(f"{base}/i{n}.xml" for n in range(9))]
+    saved = spark.createDataFrame(
+        [("s", url, sitemap("sitemapindex", *urls)) for url in urls], "store_id string, url string, xml string"
+    )
+    robots = spark.createDataFrame([("s", base, None)], "store_id string, base string, body string")
+    found = sitemaps.reachable_sitemaps(robots, saved)
+    assert sorted(r.url for r in found.collect()) == sorted(urls)
+
+
 def test_arriving_files_are_appended_once(spark, tmp_path):
     inbox, store, marks = tmp_path / "inbox", str(tmp_path / "t"), str(tmp_path / "marks")
 

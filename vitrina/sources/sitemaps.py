@@ -9,7 +9,7 @@ from vitrina.functions.pages import is_local_product_url, is_product_url
 from vitrina.functions.text import trim
 from vitrina.operators.ordering import first_n
 from vitrina.operators.rows import join_stores
-from vitrina.session import cut_lineage
+from vitrina.session import cut_lineage, written_table
 
 # Where a sitemap is looked for.
 DEFAULT_SITEMAPS = ["/sitemap.xml", "/sitemap_index.xml", "/wp-sitemap.xml"]
@@ -20,13 +20,30 @@ IS_XML = r"\.xml($|\?)"
 ROBOTS_SITEMAP = r"(?im)^\s*sitemap:\s*(\S+)"
 
 
+def read_locations(sitemaps: DataFrame) -> DataFrame:
+    """One row per sitemap document with the array `locs` of its `<loc>` texts, in document order."""
+    locs = F.transform(F.regexp_extract_all("xml", F.lit(LOC), F.lit(1)), trim)
+    return sitemaps.select("store_id", "url", F.col("xml").rlike(IS_INDEX).alias("is_index"), locs.alias("locs"))
+
+
+def location_table(sitemaps: DataFrame) -> DataFrame:
+    """`read_locations`, written: the XML is searched once and every consumer reads the table.
+
+    A table that is one already is given back as it is.
+    """
+    if "locs" in sitemaps.columns:
+        return sitemaps
+    return written_table(read_locations(sitemaps), "locations")
+
+
+def exploded(locations: DataFrame, *more: str) -> DataFrame:
+    """One row per location; whatever documents are joined with is joined before this."""
+    return locations.select("store_id", "url", *more, "is_index", F.posexplode("locs").alias("place", "loc"))
+
+
 def sitemap_locations(sitemaps: DataFrame) -> DataFrame:
     """Every `<loc>` of every sitemap document, in document order."""
-    locs = F.regexp_extract_all("xml", F.lit(LOC), F.lit(1))
-    return sitemaps.select(
-        "store_id", "url", F.col("xml").rlike(IS_INDEX).alias("is_index"),
-        F.posexplode(locs).alias("place", "loc"),
-    ).withColumn("loc", trim(F.col("loc")))
+    return exploded(sitemaps if "locs" in sitemaps.columns else read_locations(sitemaps))
 
 
 def sitemap_seeds(robots: DataFrame) -> DataFrame:
@@ -48,13 +65,17 @@ def reachable_sitemaps(
 ) -> DataFrame:
     """Documents found breadth-first from the seeds, each with its `path` of places.
 
-    All saved documents count, or only the first `max_documents` of each store.
+    All saved documents count, or only the first `max_documents` of each store. `sitemaps` are
+    saved documents or their `location_table`. One step per level of the site, with the set of
+    documents seen so far: recursive SQL has only UNION ALL here, which would walk every path
+    through indexes that name each other.
     """
-    known = sitemaps.select("store_id", "url").distinct()
-    # read the index documents once, not once per level
+    locations = location_table(sitemaps)
+    known = locations.select("store_id", "url").distinct()
+    # short rows: the links between documents only
     children = cut_lineage(
-        sitemap_locations(sitemaps)
-        .where(F.col("is_index") & F.col("loc").rlike(IS_XML))
+        exploded(locations.where("is_index"))
+        .where(F.col("loc").rlike(IS_XML))
         .select("store_id", "url", "place", "loc")
     )
     earliest = F.min("path").alias("path")
@@ -89,9 +110,9 @@ def reachable_sitemaps(
 
 def listed_urls(reachable: DataFrame, sitemaps: DataFrame) -> DataFrame:
     """Distinct page addresses, with the place each was first listed at."""
-    leaves = sitemap_locations(sitemaps).where(~F.col("is_index"))
+    leaves = location_table(sitemaps).where(~F.col("is_index"))
     return (
-        leaves.join(reachable, ["store_id", "url"])
+        exploded(leaves.join(reachable, ["store_id", "url"]), "path")
         .select(
             "store_id",
             F.col("loc").alias("url"),
@@ -126,17 +147,15 @@ def local_product_urls(
 ) -> DataFrame:
     """Tienda Nube: product pages of the root sitemap, or of its child maps (the first few if limited)."""
     root = bases.select("store_id", "base", F.concat("base", F.lit("/sitemap.xml")).alias("url"))
-    locs = sitemap_locations(sitemaps)
-    top = locs.join(root, ["store_id", "url"])
-    child_maps = top.where(F.col("is_index") & F.col("loc").rlike(IS_XML))
+    locations = location_table(sitemaps)
+    top = locations.join(root, ["store_id", "url"])
+    child_maps = exploded(top.where("is_index"), "base").where(F.col("loc").rlike(IS_XML))
     if max_child_maps is not None:
         child_maps = first_n(child_maps, ["store_id"], [F.col("place")], max_child_maps)
-    child_maps = child_maps.select("store_id", "base", F.col("loc").alias("url"))
-    from_children = locs.join(child_maps, ["store_id", "url"])
-    direct = top.where(~F.col("is_index"))
-    pages = direct.select("store_id", "base", "loc").unionByName(
-        from_children.select("store_id", "base", "loc")
-    )
+    # a child map that is named twice is read once
+    child_maps = child_maps.select("store_id", "base", F.col("loc").alias("url")).distinct()
+    leaves = locations.join(child_maps, ["store_id", "url"])
+    pages = exploded(top.where(~F.col("is_index")).unionByName(leaves), "base")
     return (
         pages.where(is_local_product_url(F.col("loc"), F.col("base")))
         .select("store_id", F.col("loc").alias("url"))

@@ -116,7 +116,7 @@ def _render_sitemaps(spark, sf) -> DataFrame:
 
 
 def _listed(spark, sf):
-    saved = _sitemaps(spark, sf)
+    saved = maps.location_table(_sitemaps(spark, sf))
     reachable = maps.reachable_sitemaps(_robots(spark, sf), saved)
     return maps.listed_urls(reachable, saved)
 
