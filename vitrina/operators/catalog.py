@@ -85,8 +85,11 @@ def catalog_currency(products: DataFrame) -> DataFrame:
     return counted.where(F.col("n") == 1).select("store_id", "currency").unionByName(first)
 
 
-def catalog_summary(products: DataFrame) -> DataFrame:
-    """One row per store. Unknown stock stays unknown: the total is null without any."""
+def catalog_summary(products: DataFrame, stores: DataFrame | None = None) -> DataFrame:
+    """One row per store. Unknown stock stays unknown: the total is null without any.
+
+    With `stores(store_id, source)` the address that the catalog was taken from, too.
+    """
     numbers = products.groupBy("store_id").agg(
         F.count(F.lit(1)).alias("products"),
         F.sum("stock_total").alias("stock_total"),
@@ -96,7 +99,8 @@ def catalog_summary(products: DataFrame) -> DataFrame:
         F.min(F.coalesce("min_price", "price")).alias("min_price"),
         F.max(F.coalesce("max_price", "price")).alias("max_price"),
     )
-    return numbers.join(catalog_currency(products), "store_id", "left")
+    summary = numbers.join(catalog_currency(products), "store_id", "left")
+    return summary if stores is None else summary.join(stores.select("store_id", "source"), "store_id", "left")
 
 
 def majority_brand(products: DataFrame) -> DataFrame:

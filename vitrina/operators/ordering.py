@@ -8,12 +8,16 @@ rows are ranked inside ordered blocks and shifted by the size of earlier blocks.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vitrina.session import cut_lineage
+from vitrina.session import cut_lineage, stored_bytes, written_table
+
+# A block holds about so many bytes of stored rows.
+BLOCK_BYTES = 64 << 20
 
 
 def first_n(
@@ -69,11 +73,19 @@ def rank_within(
 ) -> DataFrame:
     """Row number per group for any order. `order` must tell all rows of a group apart.
 
-    The blocks are range partitions, so a large group spans many of them. They are
-    checkpointed because both the counts and the rows must see the same blocks.
+    The blocks are range partitions, so a large group spans many of them. Rows are written
+    first: ranges are sampled from the table and not by making the rows twice, and its size
+    gives the number of blocks, which keeps a block's size at any size of the table. The placed
+    rows are checkpointed because both the counts and the rows must see the same blocks.
     """
-    spark = df.sparkSession
-    blocks = blocks or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = df.repartitionByRange(blocks, *[F.col(c) for c in group], *order)
+    stored = written_table(df, "unranked")
+    blocks = blocks or block_count(stored)
+    placed = stored.repartitionByRange(blocks, *[F.col(c) for c in group], *order)
     placed = cut_lineage(placed.withColumn("_place", F.spark_partition_id()))
     return rank_in_blocks(placed, group, F.col("_place"), order, into).drop("_place")
+
+
+def block_count(stored: DataFrame) -> int:
+    """Blocks of a stored table: of bounded size, and as many as a shuffle has at least."""
+    least = int(stored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, math.ceil(stored_bytes(stored) / BLOCK_BYTES))

@@ -84,3 +84,9 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path for a written intermediate table under the shared folder."""
     app = spark.sparkContext.applicationId
     return f"{shared_dir(spark)}/vitrina/{app}/{name}-{uuid.uuid4().hex[:8]}"
+
+
+def stored_bytes(stored: DataFrame) -> int:
+    """Bytes of the files of a table that was read as it is stored."""
+    plan = stored._jdf.queryExecution().optimizedPlan()
+    return int(str(plan.stats().sizeInBytes()))

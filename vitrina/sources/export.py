@@ -55,6 +55,7 @@ def snapshot_headers(stores: DataFrame, products: DataFrame) -> DataFrame:
         "source",
         "currency",
         "scraped_at",
+        "products",
         "stock_total",
         "stock_known",
         "min_price",
@@ -73,7 +74,8 @@ def snapshot_documents(
 ) -> DataFrame:
     """One JSON document per store, or several parts of bounded size.
 
-    Products keep catalog order across the parts.
+    Products keep catalog order across the parts. How many parts a store has follows from its
+    number of products, so they are ranked once.
     """
     order = catalog_order()
     columns = "store_id pos id url name brand price stock_total sold_qty available variants"
@@ -116,20 +118,28 @@ def snapshot_documents(
     suffix = F.when(F.col("part") > 0, F.format_string(".part%05d", F.col("part")))
     name = F.concat("snapshot_id", F.coalesce(suffix, F.lit("")), F.lit(".json"))
     # headers meet the documents part by part, so one store's documents stay spread
-    part_keys = ranked.select("store_id", "part").distinct()
-    headers = part_keys.join(snapshot_headers(stores, products), "store_id")
+    every_part = F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_products") - 1) / max_products))
+    headers = snapshot_headers(stores, products).withColumnRenamed("products", "n_products")
+    headers = headers.withColumn("part", F.explode(every_part))
     return parts.join(headers, ["store_id", "part"]).select(
-        "store_id", "snapshot_id", name.alias("source_file"), document.alias("body")
+        "store_id", "snapshot_id", "scraped_at", name.alias("source_file"), document.alias("body")
     )
 
 
 def write_documents(documents: DataFrame, path: str) -> None:
-    """Documents as rows of a Parquet table, which `load_snapshots` takes back as it is."""
-    documents.write.mode("append").parquet(path)
+    """Documents as rows of a Parquet table by day, each with its name in a column.
+
+    `load_snapshots` takes the table back as it is, or a day of it.
+    """
+    by_day = documents.withColumn("snapshot_date", F.to_date("scraped_at"))
+    by_day.write.mode("append").partitionBy("snapshot_date").parquet(path)
 
 
 def write_document_files(documents: DataFrame, path: str) -> None:
-    """One JSON text file per document, in a folder named after the document."""
+    """One JSON text file per document, in a folder named after the document.
+
+    For handing single documents out; `write_documents` is the form for many.
+    """
     (
         documents.select("store_id", "source_file", "body")
         .write.mode("append")

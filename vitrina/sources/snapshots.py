@@ -22,6 +22,8 @@ DEFAULT_BRAND = "Marca"
 PART_SUFFIX = r"\.part(\d+)(?=\.[^.]*$|$)"
 PART_STRIDE = 1 << 40
 SNAPSHOT_KEY = ["store_id", "snapshot_id"]
+# What the first part of a snapshot says of all of it.
+HEADER = ["brand", "platform", "currency", "source", "stock_total", "stock_known", "min_price", "max_price"]
 # The parts of a large snapshot lie apart.
 DOCUMENT_KEY = [*SNAPSHOT_KEY, "part"]
 
@@ -194,7 +196,7 @@ def gathered_snapshots(headers: DataFrame) -> DataFrame:
         (F.min("scraped_at") < F.max("scraped_at")).alias("torn"),
         F.min("source_file").alias("source_file"),
         F.min("scraped_at").alias("scraped_at"),
-        *[F.min_by(name, "part").alias(name) for name in ("brand", "platform", "currency")],
+        *[F.min_by(name, "part").alias(name) for name in HEADER],
         F.sum("n_products").alias("n_products"),
     )
 

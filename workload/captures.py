@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitrina.operators.catalog import build_catalog
+from vitrina.plans.catalog import Captures
 from workload.snapshots import table, written_once
 
 # Columns shared by the Spark fixtures and, in SQL form, by their counterparts.
@@ -209,3 +210,89 @@ def stores(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.expr("timestampadd(DAY, store, timestamp'2026-08-01 12:30:00')").alias("scraped_at"),
         )
     )
+
+
+# ---- whole captures: home pages, feeds, pages and sitemaps of every store --------------
+
+# Stores 9 and 17 have lost their feed and are read from pages.
+LOST_FEEDS = ("9", "17")
+# Addresses in one sitemap.
+MAP_URLS = 500
+
+
+def homes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Home pages. Stores 5 and 13 show their platform by the feed only, 3, 7, … not at all."""
+    html = """CASE
+      WHEN n % 4 = 0 THEN concat('<title>Shop ', n, ': fine things</title><script>Shopify.shop = "x";',
+        ' Shopify.currency = {"active":"USD"};</script>')
+      WHEN n % 8 = 1 THEN concat('<title>Buy | Woo shop ', n, '</title><body class="home woocommerce">')
+      WHEN n % 4 = 1 THEN concat('<title>Buy | Woo shop ', n, '</title>')
+      WHEN n % 4 = 2 THEN concat('<meta property="og:site_name" content="Tienda ', n, '"><script>window.LS = {}</script>')
+      ELSE '<p>hello</p>' END"""
+    stores = table(spark, sf_dir, "part").selectExpr("p_partkey % 20 AS n").distinct()
+    return stores.selectExpr(
+        "string(n) AS store_id",
+        "concat('https://s', n, '.example.com') AS base",
+        f"{html} AS html",
+        "timestampadd(DAY, n, timestamp'2026-08-01 12:30:00') AS scraped_at",
+    )
+
+
+def saved_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["store_id", "page", "body"]
+    woocommerce = woocommerce_feeds(spark, sf_dir).where(~F.col("store_id").isin(*LOST_FEEDS))
+    return shopify_feeds(spark, sf_dir).select(*columns).unionByName(woocommerce.select(*columns))
+
+
+def _fallback_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    html = """concat('<script type="application/ld+json">{"@type":"Product","name":"', name,
+      '","brand":"Own","offers":{"price":', p, '.5,"priceCurrency":"EUR"}}</script>')"""
+    rows = parts(spark, sf_dir, 1).where(F.col("store_id").isin(*LOST_FEEDS))
+    return rows.selectExpr("store_id", "base", "concat(base, '/p/f-', pk) AS url", f"{html} AS html")
+
+
+def _product_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (
+        embedded_pages(spark, sf_dir)
+        .unionByName(structured_pages(spark, sf_dir))
+        .unionByName(_fallback_pages(spark, sf_dir))
+    )
+
+
+def saved_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product pages, and copies of them under addresses that are no product's."""
+    real = _product_pages(spark, sf_dir)
+    local = real.where(F.col("url").contains("/productos/"))
+    elsewhere = local.withColumn("url", F.regexp_replace("url", "/productos/", "/mx/productos/"))
+    blog = real.where(F.col("url").contains("/p/g-")).withColumn("url", F.regexp_replace("url", "/p/g-", "/blog/g-"))
+    return real.unionByName(elsewhere).unionByName(blog).select("store_id", "url", "html")
+
+
+def saved_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index and its maps per store; a seventeenth of the structured pages is in none."""
+    number = F.regexp_extract("url", r"-(\d+)/?$", 1).cast("bigint")
+    urls = saved_pages(spark, sf_dir).select("store_id", "url", number.alias("pk"))
+    listed = urls.where(~(F.col("url").contains("/p/g-") & (F.col("pk") % 17 == 0)))
+    base = F.concat(F.lit("https://s"), "store_id", F.lit(".example.com"))
+    leaf = F.concat(base, F.lit("/map-"), (F.col("pk") / (20 * MAP_URLS)).cast("int"), F.lit(".xml"))
+    entry = lambda loc: F.concat(F.lit("<url><loc>"), loc, F.lit("</loc></url>"))
+    body = lambda tag, loc: F.concat(
+        F.lit(f"<{tag}>"), F.array_join(F.array_sort(F.collect_set(entry(F.col(loc)))), ""), F.lit(f"</{tag}>")
+    )
+    placed = listed.select("store_id", F.col("url").alias("loc"), leaf.alias("url"), F.concat(base, F.lit("/sitemap.xml")).alias("root"))
+    leaves = placed.groupBy("store_id", "url").agg(body("urlset", "loc").alias("xml"))
+    roots = placed.groupBy("store_id", F.col("root")).agg(body("sitemapindex", "url").alias("xml"))
+    return leaves.unionByName(roots.withColumnRenamed("root", "url"))
+
+
+def saved_captures(spark: SparkSession, sf_dir: str) -> Captures:
+    """All of it as it would be stored."""
+
+    def stored(name: str, build) -> DataFrame:
+        return written_once(spark, sf_dir, name, lambda: build(spark, sf_dir))
+
+    home = stored("homes", homes)
+    robots = home.select("store_id", "base", F.lit(None).cast("string").alias("body"))
+    return Captures(
+        home, stored("saved_feeds", saved_feeds), stored("saved_pages", saved_pages), robots, stored("saved_maps", saved_maps)
+    )

@@ -123,7 +123,7 @@ def catalog_currency(spark, sf):
 
 
 def catalog_summary(spark, sf):
-    return tidy(catalog.catalog_summary(captures.catalog(spark, sf)))
+    return tidy(catalog.catalog_summary(captures.catalog(spark, sf), captures.stores(spark, sf)))
 
 
 def store_brands(spark, sf):
@@ -300,7 +300,8 @@ SQL = {
     count(stock_total) AS stock_known, count(*) FILTER (WHERE available) AS available_n,
     count(*) FILTER (WHERE NOT available) AS sold_out_n, min(min_price) AS min_price,
     max(max_price) AS max_price, arg_min(currency, CASE WHEN pos IS NULL THEN url
-      ELSE printf('%012d', pos) END) FILTER (WHERE currency IS NOT NULL) AS currency
+      ELSE printf('%012d', pos) END) FILTER (WHERE currency IS NOT NULL) AS currency,
+    'https://s' || store_id || '.example.com' AS source
     FROM placed GROUP BY 1""",
     "store_brands": CATALOG
     + """, b AS (
