@@ -323,12 +323,47 @@ def test_secrets_of_every_form(spark):
     }
     rows = [(i, t) for i, (t, _) in secret.items()] + list(plain.items())
     table = spark.createDataFrame([(i, t, "src") for i, t in rows], "doc_id long, text string, source string")
-    found = secrets.scan_secrets(table).collect()
+    corpus = common.read_documents(spark, "/root/testdata/sf0.01")
+    labelled = secrets.planted_findings(corpus, secrets.dictionary(corpus))
+    found = secrets.scan_secrets(table, labelled).collect()
     assert {(r.doc_id, r.candidate) for r in found if r.is_secret} == {(i, c) for i, (_, c) in secret.items()}
-    kinds = "doc_id long, credential_before double, assigned double, digits double, dummy_near double"
-    forms = [(1, 1.0, 0.0, 0.5, 0.0), (1, 1.0, 1.0, 0.5, 0.0), (1, 0.0, 0.0, 0.5, 0.0), (1, 1.0, 1.0, 0.5, 1.0)]
-    labels = secrets.assured_labels(spark.createDataFrame(forms, kinds)).collect()
-    assert sorted(r.label for r in labels) == [0.0, 0.0, 1.0]
+
+
+def test_the_forest_scores_every_finding(spark):
+    """Planted findings of documents it has not learned from, and labels alone decide."""
+    corpus = common.read_documents(spark, "/root/testdata/sf0.01")
+    grams = secrets.dictionary(corpus)
+    labelled = secrets.planted_findings(corpus, grams).cache()
+    fold = common.fold("doc_id", 4) == 2
+    forest = secrets.trained_forest(labelled.where(~fold))
+    held_out = secrets.scored_findings(labelled.where(fold), forest)
+    by_form = held_out.groupBy("form", "label").agg(F.avg(F.col("is_secret").cast("int")).alias("kept")).collect()
+    assert {r.form for r in by_form} == set(range(len(secrets.planted_forms())))
+    assert all(r.kept > 0.9 if r.label == 1 else r.kept < 0.05 for r in by_form)
+    bare = [r.kept for r in by_form if r.label == 1 and r.form < 5]
+    assert len(bare) == 5 and min(bare) > 0.98
+    turned = labelled.where(~fold).withColumn("label", 1 - F.col("label"))
+    other = secrets.scored_findings(labelled.where(fold), secrets.trained_forest(turned))
+    assert other.where("(label = 1) = is_secret").count() < 0.05 * other.count()
+
+
+def test_words_of_any_length_take_time_in_proportion(spark):
+    import time
+
+    took = []
+    for n in (40_000, 400_000):
+        table = spark.createDataFrame([(1, "token" * n, "s")], "doc_id long, text string, source string")
+        start = time.perf_counter()
+        assert secrets.findings(table).count() >= 1
+        took.append(time.perf_counter() - start)
+    assert took[1] < 30
+
+
+def test_the_dictionary_keeps_ties(spark):
+    words = [f"{a}{b}wordy" for a in "abcdefghij" for b in "klmnopqrst"] * 3
+    table = spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string")
+    grams = {r.gram for r in secrets.dictionary(table).collect()}
+    assert {w[:4] for w in words} <= grams
 
 
 def test_pipeline(spark):
