@@ -14,8 +14,9 @@ from vitrina.sources.tables import read_observations, write_observations
 from workload import captures
 from workload.captures import PART_SQL
 from workload.catalog_queries import CATALOG
-from workload.sales_queries import SNAP, tidy
-from workload.snapshots import observations, snapshots
+from workload.sales_queries import SNAP, SOLD_ORDER, tidy
+from workload.sales_queries import SQL as SALES_SQL
+from workload.snapshots import observations, snapshots, written_once
 
 # Parts of a store's snapshot: one per 10,000 part keys, so 500 products at most.
 PART_KEYS = 10_000
@@ -23,6 +24,10 @@ PART_KEYS = 10_000
 
 def documents(spark, sf) -> DataFrame:
     """Snapshot documents of the derived stores; every other snapshot is an HTML report."""
+    return written_once(spark, sf, "documents", lambda: _documents(spark, sf))
+
+
+def _documents(spark, sf) -> DataFrame:
     product = F.struct(
         "pos",
         F.col("product_id").alias("id"),
@@ -74,8 +79,9 @@ def documents(spark, sf) -> DataFrame:
 
 
 def damaged_documents(spark, sf) -> DataFrame:
-    """The same documents with a different fault in six of ten snapshots."""
+    """The same documents with a different fault in six of ten snapshots, two faults in a seventh."""
     case = (F.col("snap_ord") + F.col("store_id").cast("int")) % 10
+    undated = F.regexp_replace("body", '"scrapedAt":"?[^",]*"?,', "")
     body = F.col("body")
     broken = (
         F.when(case == 0, F.concat(F.lit("x"), F.replace(body, F.lit("{"), F.lit("("))))
@@ -84,6 +90,7 @@ def damaged_documents(spark, sf) -> DataFrame:
         .when(case == 3, F.regexp_replace(body, r'(\[\{"pos":\d+,)"id":"\d+",', "$1"))
         .when(case == 4, F.regexp_replace(body, r'(?s)"products":\[.*\]\}', '"products":[]}'))
         .when(case == 5, F.regexp_replace(body, '"scrapedAt":"[^"]*"', '"scrapedAt":"some day"'))
+        .when(case == 6, F.regexp_replace(undated, r'("pos":\d+,)"id":"\d+",', "$1"))
         .otherwise(body)
     )
     return documents(spark, sf).withColumn("body", broken)
@@ -159,6 +166,14 @@ def report_kpis(spark, sf):
     return tidy(_report(spark, sf)["kpis"])
 
 
+def report_displayed(spark, sf):
+    return tidy(_report(spark, sf)["displayed_kpis"])
+
+
+def report_method(spark, sf):
+    return _report(spark, sf)["method"]
+
+
 def report_products(spark, sf):
     return tidy(_report(spark, sf)["product_detail"].drop("first_sale"))
 
@@ -167,6 +182,42 @@ def report_trend(spark, sf):
     return tidy(_report(spark, sf)["period_trend"].select("store_id", "period", "sold"))
 
 
+def report_top_sellers(spark, sf):
+    top = _report(spark, sf)["top_sellers"]
+    return tidy(top.select("store_id", "rank", "product_id", "name", "sold", "from_stock", "to_stock"))
+
+
+def report_top_revenue(spark, sf):
+    top = _report(spark, sf)["top_revenue"]
+    return tidy(top.select("store_id", "rank", "product_id", "name", "revenue"))
+
+
+def report_restocks(spark, sf):
+    return tidy(_report(spark, sf)["restocks"].drop("first_restock"))
+
+
+def report_new_products(spark, sf):
+    return tidy(_report(spark, sf)["new_products"].drop("pos"))
+
+
+def report_availability(spark, sf):
+    return _report(spark, sf)["availability_changes"].drop("pos")
+
+
+def report_lifetime(spark, sf):
+    return tidy(_report(spark, sf)["lifetime_best_sellers"].drop("pos"))
+
+
+def report_brand_conflicts(spark, sf):
+    """Every fourth store's documents are of two shops."""
+    odd = (F.col("store_id").cast("int") % 4 == 1) & (F.col("snap_ord") % 5 == 2)
+    renamed = F.regexp_replace("body", '"brand":"[^"]*"', '"brand":"Somewhere else"')
+    shouted = F.regexp_replace("body", '"brand":"Brand ', '"brand":"BRAND ')
+    body = F.when(odd, renamed).when(F.col("snap_ord") % 3 == 1, shouted).otherwise(F.col("body"))
+    loaded = load_snapshots(documents(spark, sf).withColumn("body", body))
+    return sales.sales_report(loaded.observations, loaded.snapshots)["brand_conflicts"]
+
+
 def output_names(spark, sf):
     shops = captures.stores(spark, sf)
     name = output_name(export.REPORT_KIND, F.concat("brand", F.lit(" Ñandú")), F.col("scraped_at"))
@@ -218,11 +269,12 @@ SQL = {
       WHEN 0 THEN CASE WHEN snap_ord % 2 = 0 THEN 'not valid JSON' ELSE 'not valid JSON' END
       WHEN 1 THEN 'no "scrapedAt"' WHEN 2 THEN 'HTML without an embedded dataset'
       WHEN 3 THEN '1 product(s) without "id"' WHEN 4 THEN '"products" is empty'
-      ELSE '"scrapedAt" is not a date: some day' END AS errors
-    FROM faults WHERE fault <= 5""",
+      WHEN 5 THEN '"scrapedAt" is not a date: some day'
+      ELSE 'no "scrapedAt"; ' || n_products || ' product(s) without "id"' END AS errors
+    FROM faults WHERE fault <= 6""",
     "snapshot_ingest_valid": _DOCS
     + """, kept AS (
-      SELECT DISTINCT store_id, snap_ord AS old_ord FROM faults WHERE fault > 5
+      SELECT DISTINCT store_id, snap_ord AS old_ord FROM faults WHERE fault > 6
     ), renumbered AS (
       SELECT *, row_number() OVER (PARTITION BY store_id ORDER BY old_ord) AS snap_ord FROM kept
     )
@@ -252,6 +304,36 @@ SQL = {
     "report_trend": SNAP
     + """SELECT store_id, period, CAST(trend.sold AS DOUBLE) AS sold FROM trend
     JOIN kpis USING (store_id) WHERE n_scraps >= 3 AND NOT availability_only""",
+    "report_displayed": SALES_SQL["displayed_kpis"],
+    "report_method": SALES_SQL["method_label"],
+    "report_top_sellers": SNAP
+    + f"""SELECT store_id, rank, product_id, name, CAST(sold AS DOUBLE) AS sold,
+    CAST(from_stock AS DOUBLE) AS from_stock, CAST(to_stock AS DOUBLE) AS to_stock FROM (
+    SELECT *, row_number() OVER (PARTITION BY store_id ORDER BY {SOLD_ORDER}) AS rank
+    FROM prod JOIN fact USING (product_id) WHERE sold > 0 QUALIFY rank <= 14)""",
+    "report_top_revenue": SNAP
+    + f"""SELECT store_id, rank, product_id, name, CAST(revenue AS DOUBLE) AS revenue FROM (
+    SELECT *, row_number() OVER (PARTITION BY store_id ORDER BY revenue DESC, {SOLD_ORDER}) AS rank
+    FROM prod JOIN fact USING (product_id) WHERE sold > 0 QUALIFY rank <= 8)""",
+    "report_restocks": SNAP
+    + """SELECT store_id, product_id, name, CAST(restocked AS DOUBLE) AS restock FROM prod
+    JOIN fact USING (product_id) WHERE restocked > 0""",
+    "report_new_products": SNAP
+    + """SELECT store_id, product_id, name, CAST(sold_qty AS DOUBLE) AS sold_qty,
+    CAST(COALESCE(stock, 0) AS DOUBLE) AS stock FROM last
+    WHERE product_id NOT IN (SELECT product_id FROM first)""",
+    "report_availability": SALES_SQL["availability_transitions"],
+    "report_lifetime": SNAP
+    + """SELECT store_id, product_id, name, CAST(sold_qty AS DOUBLE) AS sold_qty, rank FROM (
+    SELECT *, row_number() OVER (PARTITION BY store_id ORDER BY sold_qty DESC, pos) AS rank
+    FROM last WHERE sold_qty IS NOT NULL QUALIFY rank <= 8)""",
+    "report_brand_conflicts": SNAP
+    + """, odd AS (
+      SELECT store_id, CASE WHEN CAST(store_id AS INT) % 4 = 1 AND snap_ord % 5 = 2 THEN 'Somewhere else'
+        WHEN snap_ord % 3 = 1 THEN 'BRAND ' || store_id ELSE brand END AS brand FROM dim
+    )
+    SELECT DISTINCT store_id, brand FROM odd WHERE store_id IN (
+      SELECT store_id FROM odd GROUP BY 1 HAVING count(DISTINCT trim(lower(brand))) > 1)""",
     "output_names": f"WITH {PART_SQL}"
     + _STORES
     + """SELECT store_id, 'Sales_' || replace(brand, ' ', '_') || '_Nandu_' || stamp

@@ -9,6 +9,7 @@ from vitrina.operators import presence, rollups
 from vitrina.operators.pairing import (
     last_rows,
     matched_pairs,
+    number_snapshots,
     pair_deltas,
     with_signals,
 )
@@ -39,7 +40,11 @@ def tidy(df: DataFrame) -> DataFrame:
 
 
 def snapshot_order(spark: SparkSession, sf: str) -> DataFrame:
-    return tidy(snapshots(spark, sf).select("store_id", "snap_ord", "scraped_at", "platform"))
+    """Captures numbered anew: two of each, at equal times, that only their file names order."""
+    again = F.explode(F.array(F.lit("b"), F.lit("a"))).alias("copy")
+    twice = snapshots(spark, sf).select("store_id", "scraped_at", "platform", again)
+    numbered = number_snapshots(twice.withColumn("source_file", F.concat("copy", F.lit(".json"))))
+    return tidy(numbered.select("store_id", "snap_ord", "scraped_at", "platform", "source_file"))
 
 
 def snapshot_ends(spark, sf):
@@ -48,7 +53,9 @@ def snapshot_ends(spark, sf):
 
 
 def comparable_stores(spark, sf):
-    return sales.comparable_stores(snapshots(spark, sf))
+    """A third of the stores has its first snapshot only."""
+    alone = F.col("store_id").cast("int") % 3 == 0
+    return sales.comparable_stores(snapshots(spark, sf).where(~alone | (F.col("snap_ord") == 1)))
 
 
 def pair_join(spark, sf):
@@ -112,7 +119,10 @@ def stock_span(spark, sf):
 
 
 def latest_names(spark, sf):
-    return rollups.product_facts(observations(spark, sf)).select("product_id", "name")
+    """Names that change from capture to capture, and go missing in some."""
+    at = F.col("snap_ord") + F.col("product_id").cast("int")
+    name = F.when(at % 7 == 0, F.lit(None)).when(at % 7 == 1, F.lit("")).otherwise(F.concat("name", F.lit(" v"), "snap_ord"))
+    return rollups.product_facts(observations(spark, sf).withColumn("name", name)).select("product_id", "name")
 
 
 def period_trend(spark, sf):
@@ -222,6 +232,15 @@ def brand_consistency(spark, sf):
     return tidy(rollups.brand_consistency(odd))
 
 
+def brand_conflicts(spark, sf):
+    """The names of the stores whose snapshots are of different brands."""
+    odd = F.when((F.col("store_id") % 4 == 0) & (F.col("snap_ord") == 3), "Other").when(
+        F.col("snap_ord") % 2 == 0, F.upper("brand")
+    )
+    snaps = snapshots(spark, sf).withColumn("brand", F.coalesce(odd, F.concat(F.lit(" "), F.col("brand"))))
+    return rollups.brand_conflicts(snaps)
+
+
 # ---- SQL side -------------------------------------------------------------------
 
 SNAP = """
@@ -373,16 +392,17 @@ _TIMES = (
     "strftime(from_at, '%Y-%m-%d %H:%M:%S') AS from_at, "
     "strftime(to_at, '%Y-%m-%d %H:%M:%S') AS to_at"
 )
-_SOLD_ORDER = "sold DESC, first_sale_in, CAST(product_id AS BIGINT)"
+SOLD_ORDER = "sold DESC, first_sale_in, CAST(product_id AS BIGINT)"
 
 SQL = {
     "snapshot_order": SNAP
-    + "SELECT store_id, snap_ord, strftime(scraped_at, '%Y-%m-%d %H:%M:%S') AS scraped_at, "
-    "platform FROM dim",
+    + "SELECT store_id, 2 * snap_ord - 1 + c AS snap_ord, strftime(scraped_at, '%Y-%m-%d %H:%M:%S') "
+    "AS scraped_at, platform, CASE c WHEN 0 THEN 'a' ELSE 'b' END || '.json' AS source_file "
+    "FROM dim, (SELECT unnest([0, 1]) AS c)",
     "snapshot_ends": SNAP
     + "SELECT store_id, strftime(first_at, '%Y-%m-%d %H:%M:%S') AS first_at, "
     "strftime(last_at, '%Y-%m-%d %H:%M:%S') AS last_at, n_scraps FROM ends",
-    "comparable_stores": SNAP + "SELECT store_id FROM ends WHERE n_scraps >= 2",
+    "comparable_stores": SNAP + "SELECT store_id FROM ends WHERE n_scraps >= 2 AND CAST(store_id AS INT) % 3 <> 0",
     "pair_join": SNAP
     + "SELECT store_id, product_id, snap_ord, CAST(start_price AS DOUBLE) AS start_price, "
     "start_stock, start_sold_qty FROM pair",
@@ -402,7 +422,10 @@ SQL = {
     + "SELECT product_id, sold, CAST(revenue AS DOUBLE) AS revenue, restocked, first_sale_in, "
     "first_restock_in FROM prod",
     "stock_span": SNAP + "SELECT product_id, from_stock, to_stock FROM fact",
-    "latest_names": SNAP + "SELECT product_id, name FROM fact",
+    "latest_names": SNAP
+    + """SELECT product_id, CASE WHEN (snap_ord + CAST(product_id AS INT)) % 7 < 2 THEN product_id
+      ELSE name || ' v' || snap_ord END AS name
+    FROM snap QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY snap_ord DESC) = 1""",
     "period_trend": SNAP
     + f"SELECT store_id, period, {_TIMES}, days, sold, CAST(revenue AS DOUBLE) AS revenue, "
     "round(per_day, 4) AS per_day FROM trend",
@@ -430,12 +453,12 @@ SQL = {
     "to_stock FROM prod JOIN fact USING (product_id) WHERE sold > 0",
     "top_sellers": SNAP
     + f"""SELECT store_id, rank, product_id, name, sold, {_bar('sold')} FROM (
-    SELECT *, row_number() OVER (PARTITION BY store_id ORDER BY {_SOLD_ORDER}) AS rank
+    SELECT *, row_number() OVER (PARTITION BY store_id ORDER BY {SOLD_ORDER}) AS rank
     FROM prod JOIN fact USING (product_id) WHERE sold > 0 QUALIFY rank <= 10)""",
     "top_revenue": SNAP
     + f"""SELECT store_id, rank, product_id, name, CAST(revenue AS DOUBLE) AS revenue,
     {_bar('revenue')} FROM (
-    SELECT *, row_number() OVER (PARTITION BY store_id ORDER BY revenue DESC, {_SOLD_ORDER}) AS rank
+    SELECT *, row_number() OVER (PARTITION BY store_id ORDER BY revenue DESC, {SOLD_ORDER}) AS rank
     FROM prod JOIN fact USING (product_id) WHERE sold > 0 QUALIFY rank <= 8)""",
     "restocks": SNAP
     + "SELECT store_id, product_id, name, restocked AS restock FROM prod "
@@ -461,6 +484,11 @@ SQL = {
       WHEN CAST(store_id AS INT) % 4 = 0 AND snap_ord = 3 THEN 'Other'
       WHEN snap_ord % 2 = 0 THEN upper(brand) ELSE ' ' || brand END))) AS n_brands,
     n_brands > 1 AS mixed FROM dim GROUP BY 1""",
+    "brand_conflicts": SNAP
+    + """SELECT DISTINCT store_id, CASE WHEN snap_ord = 3 THEN 'Other'
+      WHEN snap_ord % 2 = 0 THEN upper(brand) ELSE ' ' || brand END AS brand
+    FROM dim WHERE CAST(store_id AS INT) % 4 = 0 AND EXISTS (
+      SELECT 1 FROM dim d WHERE d.store_id = dim.store_id AND d.snap_ord = 3)""",
 }
 
 QUERIES = {name: globals()[name] for name in SQL}

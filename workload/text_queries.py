@@ -89,15 +89,18 @@ def document_text(spark, sf):
     body = text.strip_tags(marked)
     return tidy(
         table(spark, sf, "documents").select(
-            "doc_id", F.length(body).alias("chars"), text.truncate(body, 90).alias("summary")
+            "doc_id",
+            F.length(body).alias("chars"),
+            F.sha2(body, 256).alias("body_sha256"),
+            text.truncate(body, 90).alias("summary"),
         )
     )
 
 
 def meta_lookup(spark, sf):
-    """Meta tags in either attribute order, among look-alikes, with entities."""
+    """Meta tags in either attribute order behind a whole page, among look-alikes, with entities."""
     title = F.regexp_extract("html", "<title>([^<&]*)", 1)
-    rows = table(spark, sf, "pages").select("page_id", title.alias("t"))
+    rows = table(spark, sf, "pages").select("page_id", "html", title.alias("t"))
     first = F.concat(
         F.lit('<meta data-a="1" property="og:title" content=" A &amp; '), "t", F.lit('">')
     )
@@ -107,6 +110,7 @@ def meta_lookup(spark, sf):
         F.lit("' name='og:title' />"),
     )
     page = F.concat(
+        "html",
         F.lit('<meta charset="x"><META name="og:title:alt" content="no">'),
         F.when(F.col("page_id") % 2 == 0, first).otherwise(reversed_order),
         F.lit('<meta property="og:title" content="later"><meta name="empty" content="">'),
@@ -163,8 +167,10 @@ def page_brand(spark, sf):
         .when(F.col("page_id") % 6 == 4, F.lit("Inicio - x"))
     )
     site = F.lit('<meta property="og:site_name" content=" Site &eacute; ">')
+    rest = F.regexp_replace("html", "(?s)<title>.*?</title>", "")
     page = F.concat(
         F.when(F.col("page_id") % 9 == 0, site).otherwise(""),
+        rest,
         F.coalesce(F.concat(F.lit("<title>"), title, F.lit("</title>")), F.lit("<p>untitled</p>")),
     )
     return table(spark, sf, "pages").select(
@@ -297,8 +303,16 @@ SPACE = (
 )
 
 
+# What the entities stand for, in the order they are replaced.
+ENTITY_TEXT = [
+    ("&quot;", '"'), ("&#34;", '"'), ("&#039;", "'"), ("&#39;", "'"), ("&#8217;", "'"), ("&apos;", "'"),
+    ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " "),
+    ("&aacute;", "á"), ("&eacute;", "é"), ("&iacute;", "í"), ("&oacute;", "ó"), ("&uacute;", "ú"), ("&ntilde;", "ñ"),
+]
+
+
 def decoded(col: str) -> str:
-    for entity, char in text.ENTITIES:
+    for entity, char in ENTITY_TEXT:
         char = "''" if char == "'" else char
         col = f"replace({col}, '{entity}', '{char}')"
     return col
@@ -322,8 +336,9 @@ def _trimmed(col: str) -> str:
     return f"regexp_replace({col}, '^{SPACE}+|{SPACE}+$', '', 'g')"
 
 
-_MONTHS = "[" + ", ".join(f"'{m}'" for m in dates.MONTHS_ES) + "]"
-_SHORT = "[" + ", ".join(f"'{m}'" for m in dates.SHORT_MONTHS_ES) + "]"
+_MONTHS = """['enero', 'febrero', 'marzo', 'abril', 'mayo', 'junio', 'julio', 'agosto', 'septiembre',
+  'octubre', 'noviembre', 'diciembre']"""
+_SHORT = "['ene', 'feb', 'mar', 'abr', 'may', 'jun', 'jul', 'ago', 'sep', 'oct', 'nov', 'dic']"
 _MILLIONS = "rtrim(rtrim(format('{:,.2f}', ((p * size * 100 + 5000) // 10000) / 100.0), '0'), '.')"
 _PLATFORM = """CASE WHEN page_id % 13 = 0 THEN 'generic' ELSE CASE page_id % 6
   WHEN 0 THEN 'tiendanube' WHEN 1 THEN 'tiendanube' WHEN 2 THEN 'tiendanube'
@@ -351,7 +366,7 @@ SQL = {
       {cut(stripped('html'), 150)} AS summary FROM pages""",
     "document_text": f"""WITH d AS (SELECT doc_id, {stripped(
       "'<div>&iacute;&amp;lt;<BR />' || text || ' &nbsp;&#039;</div>'")} AS body FROM documents)
-    SELECT doc_id, length(body) AS chars, {cut('body', 90)} AS summary FROM d""",
+    SELECT doc_id, length(body) AS chars, sha256(body) AS body_sha256, {cut('body', 90)} AS summary FROM d""",
     "meta_lookup": f"""WITH p AS (SELECT page_id,
       regexp_extract(html, '<title>([^<&]*)', 1) AS t FROM pages)
     SELECT page_id, {_trimmed('''CASE WHEN page_id % 2 = 0 THEN 'A & ' || t
