@@ -151,22 +151,22 @@ def ld(*nodes):
 
 
 def test_structured_page(spark):
-    html = "<title>10 Straps</title>" + ld(
+    html = "<title>Farol de mano</title>" + ld(
         {
             "@type": "Product",
             "image": [["https://i/nested.jpg"]],
-            "sku": "22961531",
-            "brand": {"@type": "Brand", "name": "Maker"},
+            "sku": "F-0417",
+            "brand": {"@type": "Brand", "name": "Taller Norte"},
             "description": "",
-            "offers": [{"price": 89490, "priceCurrency": "ARS", "availability": "InStock"}],
-            "name": "10 Straps",
+            "offers": [{"price": 31250, "priceCurrency": "ARS", "availability": "InStock"}],
+            "name": "Farol de mano",
         }
     ) + '<meta property="og:description" content="About &eacute;l">'
     row = structured_products(page(spark, html)).first()
-    assert (row.id, row.name, row.brand) == ("22961531", "10 Straps", "Maker")
-    assert float(row.price) == 89490 and row.currency == "ARS" and row.available
+    assert (row.id, row.name, row.brand) == ("F-0417", "Farol de mano", "Taller Norte")
+    assert float(row.price) == 31250 and row.currency == "ARS" and row.available
     assert row.main_image is None and row.stock_total is None
-    assert row.description == "About él" and row.price_short == "$89.490"
+    assert row.description == "About él" and row.price_short == "$31.250"
 
 
 def test_pages_without_a_priced_product_drop_out(spark):
