@@ -62,15 +62,22 @@ class Features:
             at = gap.start()
         yield text[at:]
 
-    def bucket(self, feature: str) -> int:
-        known = self.newer.get(feature)
+    def found(self, features: list[str]) -> np.ndarray:
+        """Bucket of every feature."""
+        known = list(map(self.newer.get, features))
+        if None in known:
+            for at, bucket in enumerate(known):
+                if bucket is None:
+                    known[at] = self._looked_up(features[at])
+        return np.array(known, np.uint32)
+
+    def _looked_up(self, feature: str) -> int:
+        known = self.older.get(feature)
         if known is None:
-            known = self.older.get(feature)
-            if known is None:
-                known = zlib.crc32(feature.encode("utf-8")) % self.buckets
-            if len(self.newer) >= REMEMBERED:
-                self.older, self.newer = self.newer, {}
-            self.newer[feature] = known
+            known = zlib.crc32(feature.encode("utf-8")) % self.buckets
+        if len(self.newer) >= REMEMBERED:
+            self.older, self.newer = self.newer, {}
+        self.newer[feature] = known
         return known
 
     def of(self, text: str) -> tuple[int, np.ndarray]:
@@ -80,8 +87,7 @@ class Features:
             spans = [span for _, span in self.split.pre_tokenize_str(stretch)]
             words += len(spans)
             if self.most_words == 1:
-                known = [stretch[a:b] for a, b in spans]
-                found.append(np.fromiter(map(self.bucket, known), np.uint32, len(known)))
+                found.append(self.found([stretch[a:b] for a, b in spans]))
                 continue
             # windows over the joint: the last words of the stretch before stand in front
             run = before + [stretch[a:b] for a, b in spans]
@@ -93,7 +99,7 @@ class Features:
                 for n in range(self.most_words)
                 for i in range(max(0, len(before) - n), len(run) - n)
             ]
-            found.append(np.fromiter(map(self.bucket, windows), np.uint32, len(windows)))
+            found.append(self.found(windows))
             before = run[-(self.most_words - 1) :]
         return words, np.concatenate(found) if found else np.zeros(0, np.uint32)
 
