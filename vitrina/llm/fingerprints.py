@@ -14,6 +14,7 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from vitrina.llm.common import SPACE_CHARS, SPACES, shuffle_width, whole_text
 from vitrina.session import written_table
@@ -71,22 +72,32 @@ def as_text(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), BITS // 4, "0")
 
 
-def id_buckets(docs: DataFrame, doc_id: str) -> Column:
-    """A number that never falls as the id grows, with about as many ids to each.
+def id_buckets(docs: DataFrame, doc_id: str, tie: str) -> Column:
+    """A number that never falls along (doc_id, tie), nulls first, with about as many rows to each.
 
-    Only quantiles of the ids are read. Nulls come first.
+    `tie` is a 64-bit hash. Only quantiles of the ids are read. An id that is a quantile more
+    than once has a share of the rows that would make a large bucket; its rows, and those
+    without an id, are cut by their tie.
     """
+    if not isinstance(docs.schema[doc_id].dataType, NumericType):
+        raise TypeError(f"{doc_id} is no number: documents follow each other by numeric ids")
     pieces = -(-4 * shuffle_width(docs.sparkSession) // KNOTS)
     steps = [i / KNOTS for i in range(KNOTS + 1)]
-    found = docs.agg(F.percentile_approx(doc_id, steps, 20 * KNOTS).alias("q")).first()["q"]
+    found = docs.agg(F.percentile_approx(doc_id, steps, 20 * KNOTS).alias("q")).first()["q"] or []
+    knots = sorted(set(found))
+    fine = pieces * KNOTS
+    by_tie = F.floor((F.col(tie).cast("double") / float(1 << 63) + 1) / 2 * fine)
+    by_tie = F.greatest(F.lit(0), F.least(by_tie, F.lit(fine - 1))).cast("long")
     bucket = F.lit(-1).cast("long")
-    knots = sorted(set(found or []))
     for number, low in enumerate(knots):
         high = knots[number + 1] if number + 1 < len(knots) else low + 1
         inside = (F.col(doc_id).cast("double") - float(low)) / float(high - low) * pieces
-        place = F.least(F.floor(inside), F.lit(pieces - 1)) + number * pieces
-        bucket = F.when(F.col(doc_id) >= low, place.cast("long")).otherwise(bucket)
-    return F.when(F.col(doc_id).isNull(), F.lit(-2).cast("long")).otherwise(bucket)
+        place = F.greatest(F.lit(0), F.least(F.floor(inside), F.lit(pieces - 1))).cast("long")
+        start = number * 2 * fine
+        bucket = F.when(F.col(doc_id) >= low, place + (start + fine)).otherwise(bucket)
+        if found.count(low) > 1:
+            bucket = F.when(F.col(doc_id) == low, by_tie + start).otherwise(bucket)
+    return F.when(F.col(doc_id).isNull(), by_tie - (fine + 1)).otherwise(bucket)
 
 
 def _with_next(rows: DataFrame, value: str, order: list[str]) -> DataFrame:
@@ -126,13 +137,13 @@ def fingerprint_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     (or all) of the next document by doc_id, nulls first; the last document's next is the
     first, a single document's is itself. Rows that repeat an id follow each other by a hash
     of their texts. A null text is empty; all texts without words have the fingerprint of the
-    begin mark alone. An empty table gives no rows. Other columns are not read.
+    begin mark alone. An empty table gives no rows. Other columns are not read. Ids are
+    numbers; a column of another type is refused.
     """
     plain = docs.select(F.col(doc_id).alias("doc_id"), whole_text(text).alias("text"))
-    plain = plain.select(
-        "doc_id", id_buckets(docs.select(F.col(doc_id).alias("doc_id")), "doc_id").alias("bucket"), "text"
-    )
     tied = plain.withColumn("tie", F.xxhash64("text"))
+    bucket = id_buckets(docs.select(F.col(doc_id).alias("doc_id")), "doc_id", "tie")
+    tied = tied.select("doc_id", bucket.alias("bucket"), "text", "tie")
     n = F.length("text")
     quarter = F.floor(n / 4).cast("int")
     edited = F.concat(
