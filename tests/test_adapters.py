@@ -92,7 +92,7 @@ def test_woocommerce_minor_units_and_sales(spark):
 def product_page(variants, product="", tail=""):
     return (
         "<script>LS.product = {\n id : 55, x: '}' };</script>"
-        '<script>a={"id":55,"name":"Box &amp; co","price":13500000'
+        '<script>a={"id":55,"name":"Box &amp; co","price":8410000'
         + product
         + "}; LS.variants = "
         + variants
@@ -103,25 +103,38 @@ def product_page(variants, product="", tail=""):
 
 def test_embedded_page(spark):
     html = product_page(
-        '[{"option0":"M","stock":3,"available":true,"price_number":135000,'
-        '"price_short":"$135.000,00","image_url":"//c/a.jpg"},'
-        '{"option0":null,"stock":null,"available":false,"price_number":140000}]',
+        '[{"option0":"M","stock":3,"available":true,"price_number":84100,'
+        '"price_short":"$84.100,00","image_url":"//c/a.jpg"},'
+        '{"option0":null,"stock":null,"available":false,"price_number":90300}]',
         ',"sold_qty":0,"canonical_url":"https://shop.example.com/productos/box/"',
         '<meta name="description" content="short">'
         '<div class="product-description"><div>a much longer</div> text</div>',
     )
     row = embedded_products(page(spark, html)).first()
     assert (row.id, row.name, row.url) == ("55", "Box & co", BASE + "/productos/box/")
-    assert (float(row.price), float(row.max_price)) == (135000, 140000)
+    assert (float(row.price), float(row.max_price)) == (84100, 90300)
     assert row.stock_total == 3 and row.sold_qty == 0 and row.available
-    assert row.price_short == "$135.000" and row.main_image == "https://c/a.jpg"
+    assert row.price_short == "$84.100" and row.main_image == "https://c/a.jpg"
     assert [(v.size, v.stock) for v in row.variants] == [("M", 3), ("—", None)]
     assert row.description == "a much longer text" and row.size_option_name == "Talle"
 
 
+def test_crumbs_are_the_names_of_the_list(spark):
+    items = '{"@type":"ListItem","item":["x"],"name":"Luces"},{"name":"Faroles"},{"name":"Farol"}'
+    block = '{"@type":"BreadcrumbList","itemListElement" : [%s],"@id":"b"},{"@type":"Organization","name":"Taller"}'
+    script = '<script type="application/ld+json">[%s]</script><p>"name":"outside"</p>'
+    pages = page(
+        spark,
+        product_page("[]", tail=script % (block % items)),
+        product_page("[]", tail='<script>{"@type":"BreadcrumbList","name":"A"},{"name":"B"}</script>'),
+        product_page("[]"),
+    )
+    assert [r.crumbs for r in embedded_products(pages).collect()] == [["Luces", "Faroles"], ["A"], []]
+
+
 def test_embedded_page_without_variants_uses_cents(spark):
     row = embedded_products(page(spark, product_page("[]"))).first()
-    assert float(row.price) == 135000 and row.price_short == "$135.000"
+    assert float(row.price) == 84100 and row.price_short == "$84.100"
     assert row.stock_total == 0 and not row.available and row.sold_qty is None
 
 

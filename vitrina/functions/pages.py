@@ -31,6 +31,19 @@ COUNTRY_FOLDER = (
     "/(ad|bo|br|ca|cl|co|cr|de|ec|es|fr|gb|gt|hk|it|jp|mx|nl|nz|pe|pr|pt|py|us|uy|au)/"
 )
 
+# Where a page names its shop, and its currency.
+SITE_NAME = '<meta property="og:site_name" content="([^"]+)"'
+TITLE = "<title>([^<]+)</title>"
+TAGLINE = rf"^([^:|–\-]{{2,25}}):{WS}"
+BUYING = rf"Comprar en{WS}+([^\-–|]+){WS}*\z"
+ENDING = rf"[\-–|]{WS}*([^\-–|]+){WS}*\z"
+PRICE_CURRENCY = r'"priceCurrency"\s*:\s*"([A-Z]{3})"'
+ACTIVE_CURRENCY = r'Shopify\.currency\s*=\s*\{\s*"active"\s*:\s*"([A-Z]{3})"'
+OTHER_CURRENCY = r'"currency"\s*:\s*"([A-Z]{3})"'
+
+# Words that say a product is gone.
+SOLD_OUT = rf"(?i)agotado|sold{WS}*out|out of stock"
+
 GENERIC = "generic"
 
 
@@ -54,12 +67,12 @@ def feed_shape(body: Column) -> Column:
 
 def page_brand(html: Column, url: Column) -> Column:
     """Store name: site name, then what the title says, then the host."""
-    site = blank_to_null(F.regexp_extract(html, '<meta property="og:site_name" content="([^"]+)"', 1))
-    title = decode_entities(blank_to_null(F.regexp_extract(html, "<title>([^<]+)</title>", 1)))
+    site = blank_to_null(F.regexp_extract(html, SITE_NAME, 1))
+    title = decode_entities(blank_to_null(F.regexp_extract(html, TITLE, 1)))
 
-    tagline = blank_to_null(F.regexp_extract(title, rf"^([^:|–\-]{{2,25}}):{WS}", 1))
-    buying = trim(F.regexp_extract(title, rf"Comprar en{WS}+([^\-–|]+){WS}*\z", 1))
-    ending = trim(F.regexp_extract(title, rf"[\-–|]{WS}*([^\-–|]+){WS}*\z", 1))
+    tagline = blank_to_null(F.regexp_extract(title, TAGLINE, 1))
+    buying = trim(F.regexp_extract(title, BUYING, 1))
+    ending = trim(F.regexp_extract(title, ENDING, 1))
     last_part = trim(F.element_at(F.split(title, r"[\-–|]", -1), -1))
 
     host = F.element_at(F.split(F.regexp_replace(url_host(url), r"^www\.", ""), r"\."), 1)
@@ -74,14 +87,12 @@ def page_brand(html: Column, url: Column) -> Column:
 
 
 def currency_in_structured_data(html: Column) -> Column:
-    return blank_to_null(F.regexp_extract(html, r'"priceCurrency"\s*:\s*"([A-Z]{3})"', 1))
+    return blank_to_null(F.regexp_extract(html, PRICE_CURRENCY, 1))
 
 
 def currency_in_storefront(html: Column) -> Column:
-    active = F.regexp_extract(
-        html, r'Shopify\.currency\s*=\s*\{\s*"active"\s*:\s*"([A-Z]{3})"', 1
-    )
-    other = F.regexp_extract(html, r'"currency"\s*:\s*"([A-Z]{3})"', 1)
+    active = F.regexp_extract(html, ACTIVE_CURRENCY, 1)
+    other = F.regexp_extract(html, OTHER_CURRENCY, 1)
     return F.coalesce(blank_to_null(active), blank_to_null(other))
 
 
@@ -97,4 +108,4 @@ def is_local_product_url(url: Column, base: Column) -> Column:
 
 
 def reads_sold_out(html: Column) -> Column:
-    return html.rlike(rf"(?i)agotado|sold{WS}*out|out of stock")
+    return html.rlike(SOLD_OUT)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 from pyspark.sql import Column
@@ -127,8 +128,7 @@ def meta_tags(html: Column) -> Column:
 
 
 def _meta_pattern(key: str) -> str:
-    name = key.replace(":", r"\:").replace("/", r"\/")
-    attr = rf"""(?:name|property)=["']{name}["']"""
+    attr = rf"""(?:name|property)=["']{re.escape(key)}["']"""
     value = r"""content=["']([^"']*)["']"""
     return rf"(?i)<meta[^>]+{attr}[^>]+{value}|<meta[^>]+{value}[^>]+{attr}"
 

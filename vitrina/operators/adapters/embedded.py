@@ -34,6 +34,9 @@ CRUMBS_MARK = "BreadcrumbList"
 BLOCK_END = "</script"
 OPTION_NAME = "Talle"
 
+# The elements of a list in script data, which may hold lists of their own.
+LIST_ITEMS = r'"itemListElement"\s*:\s*\[((?:[^\[\]]++|\[[^\[\]]*+\])*+)\]'
+
 _STRUCTURE = re.compile(r"""["'{}\[\]]""")
 _QUOTED = {q: re.compile(rf"[^{q}\\]*(?:\\.[^{q}\\]*)*{q}", re.DOTALL) for q in "\"'"}
 _DIV = re.compile(r"<(/?)div\b[^>]*>", re.IGNORECASE)
@@ -126,10 +129,15 @@ def _variant(v: Column) -> Column:
 
 
 def _crumbs(html: Column) -> Column:
-    """Category names of the block with the breadcrumb mark, without the product itself."""
+    """Category names of the list with the breadcrumb mark, without the product itself.
+
+    Names of other nodes of the same block are no categories. A list that cannot be made out
+    counts up to the end of its block.
+    """
     at = F.instr(html, F.lit(CRUMBS_MARK))
     span = F.when(at > 0, F.substring_index(F.substring(html, at, F.length(html)), BLOCK_END, 1))
-    names = F.regexp_extract_all(span, F.lit(r'"name"\s*:\s*"([^"]+)"'), F.lit(1))
+    items = F.coalesce(blank_to_null(F.regexp_extract(span, LIST_ITEMS, 1)), span)
+    names = F.regexp_extract_all(items, F.lit(r'"name"\s*:\s*"([^"]+)"'), F.lit(1))
     kept = F.slice(names, 1, F.greatest(F.size(names) - 1, F.lit(0)))
     return F.coalesce(F.transform(kept, lambda n: decode_entities(trim(n))), F.array())
 
