@@ -153,17 +153,30 @@ def snapshot_documents(spark, sf):
     )
 
 
-def _report(spark, sf):
-    """Documents read, stored by day, and compared from the stored tables."""
+def _stored(spark, sf):
+    """Documents read and stored by day: the tables that a comparison starts from."""
     loaded = load_snapshots(documents(spark, sf))
     path = scratch_path(spark, "stored_observations")
     write_observations(loaded.observations, path)
-    stored = written_table(loaded.snapshots, "stored_snapshots")
-    return sales.sales_report(read_observations(spark, path), stored)
+    return path, written_table(loaded.snapshots, "stored_snapshots")
+
+
+_stores: dict[tuple[str, str], tuple] = {}
+
+
+def _report(spark, sf):
+    """A new report on tables that were stored once."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _stores:
+        _stores[key] = _stored(spark, sf)
+    path, heads = _stores[key]
+    return sales.sales_report(read_observations(spark, path), heads)
 
 
 def report_kpis(spark, sf):
-    return tidy(_report(spark, sf)["kpis"])
+    """All the way from the documents."""
+    path, heads = _stored(spark, sf)
+    return tidy(sales.sales_report(read_observations(spark, path), heads)["kpis"])
 
 
 def report_displayed(spark, sf):
