@@ -97,3 +97,20 @@ def test_small_edits_of_long_texts_are_within_the_radius(spark):
         other[rng.integers(len(own))] = "changed"
         near += (simhash(" ".join(own)) ^ simhash(" ".join(other))).bit_count() <= fingerprints.RADIUS
     assert near >= 45
+
+
+def test_near_ids_name_one_document_of_each_near_fingerprint(spark):
+    rng = np.random.default_rng(2)
+    base = [int(b) for b in rng.integers(-(2**62), 2**62, 30)]
+    flips = [b ^ sum(1 << int(i) for i in rng.choice(60, k, replace=False)) for b in base for k in range(5)]
+    rows = [(i, fp, i % 7 == 0) for i, fp in enumerate([*base, *flips, *base[:5]])]
+    got = fingerprints.near_classes(spark.createDataFrame(rows, "doc_id long, fp long, is_query boolean")).collect()
+    apart = lambda a, b: bin((a ^ b) & (2**64 - 1)).count("1")
+    want = {}
+    for fp in {fp for _, fp, asked in rows if asked}:
+        near = [(i, other) for i, other, _ in rows if apart(fp, other) <= 3]
+        least = {}
+        for i, other in near:
+            least.setdefault(other, i)
+        want[fp] = (len(near), sorted(least.values()))
+    assert {r.query_fp: (r.near_docs, list(r.near_ids)) for r in got} == want

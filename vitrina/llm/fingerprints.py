@@ -216,10 +216,17 @@ def near_fingerprints(
     return left.join(right, on).select("query_fp", "fp", F.bit_count(apart).alias("distance"))
 
 
-def near_counts(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """query_fp and near_docs: the number of rows of `rows` (flag `is_query`, fp) within `radius`."""
-    classes = rows.groupBy("fp").agg(F.count(F.lit(1)).alias("n"))
+def near_classes(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """query_fp, near_docs, near_ids of the rows (flag `is_query`, fp, doc_id) within `radius`.
+
+    `near_docs` counts rows, the query's own included. `near_ids` has the smallest doc_id of each
+    distinct fingerprint within the radius, of which there are at most 43,745 at three bits; the
+    other members of its class are the rows with the same fingerprint.
+    """
+    classes = rows.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least"))
     pairs = near_fingerprints(rows.where("is_query"), classes, radius)
     return (
-        pairs.join(classes, "fp").groupBy("query_fp").agg(F.sum("n").alias("near_docs"))
+        pairs.join(classes, "fp")
+        .groupBy("query_fp")
+        .agg(F.sum("n").alias("near_docs"), F.array_sort(F.collect_list("least")).alias("near_ids"))
     )

@@ -325,7 +325,12 @@ def keep_one_of_each(
     shingle_words: int = SHINGLE_WORDS,
     similarity: tuple[int, int] = SIMILARITY,
 ) -> DataFrame:
-    """The rows of `docs` that are kept, with all their columns. Rows that share an id are one document."""
+    """The rows of `docs` that are kept, with all their columns.
+
+    Rows that share an id are one document. A null or empty text is linked with nothing and
+    stays; so does a null id, which is a document like another. Texts are read whole. An empty
+    table gives no rows. Columns may have any names.
+    """
     found = near_duplicates(docs, doc_id, text, shingle_words, similarity).where("kept")
     ids = found.select(F.col("doc_id").alias("_kept_id")).distinct()
     rows = docs.select(F.struct("*").alias("_row"), F.col(doc_id).alias("_id"))

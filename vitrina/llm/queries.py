@@ -30,13 +30,18 @@ QUERY_IDS = 50
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Also `near_docs`: other documents within three bits, for ids divisible by 50, null for the rest."""
+    """Also, for ids divisible by 50 and null for the rest: `near_docs`, the other documents within
+    three bits, and `near_ids`, the smallest doc_id of each fingerprint within three bits, as text."""
     found = written_table(fingerprints.fingerprint_documents(read_documents(spark, sf_dir)), "found")
     is_query = F.coalesce(F.col("doc_id") % QUERY_IDS == 0, F.lit(False))
-    counts = fingerprints.near_counts(found.select("fp", is_query.alias("is_query")))
-    asked = found.where(is_query).join(counts, F.col("fp") == F.col("query_fp"))
-    both = asked.select(*found.columns, (F.col("near_docs") - 1).alias("near_docs")).unionByName(
-        found.where(~is_query).withColumn("near_docs", F.lit(None).cast("long"))
+    near = fingerprints.near_classes(found.select("doc_id", "fp", is_query.alias("is_query")))
+    asked = found.where(is_query).join(near, F.col("fp") == F.col("query_fp"))
+    both = asked.select(
+        *found.columns, (F.col("near_docs") - 1).alias("near_docs"), F.array_join("near_ids", ",").alias("near_ids")
+    ).unionByName(
+        found.where(~is_query).withColumns(
+            {"near_docs": F.lit(None).cast("long"), "near_ids": F.lit(None).cast("string")}
+        )
     )
     return both.select(
         "doc_id",
@@ -47,6 +52,7 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         fingerprints.likeness(F.col("fp"), F.col("edited_fp")).alias("near_edited"),
         fingerprints.likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
         "near_docs",
+        "near_ids",
     )
 
 
