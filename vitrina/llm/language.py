@@ -18,10 +18,11 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitrina.llm.common import LOWER, blocks, row_sums
+from vitrina.session import written_table
 
 #: Languages of a family; a language that is in none is a family of its own.
 FAMILIES = {
@@ -35,42 +36,55 @@ FAMILIES = {
 UNDETERMINED = "und"
 ORDERS = (2, 3, 4)
 SLOT_BITS = 16
-#: Labelled texts per language that the machines are fitted on, about.
+#: Labelled texts that the machines are fitted on: about so many per language, and in all.
 TEXTS_PER_LANGUAGE = 500
+TEXTS = 8_000
 EPOCHS = 12
 PENALTY = 1e-4
 HAS_LETTER = r"\p{L}"
+#: Texts are read in blocks of about so many bytes; an n-gram takes some 60 bytes while it is counted.
+TEXT_BLOCK = 1 << 19
 #: Orders of the n-grams whose share decides whether a text is in a language.
 KNOWN_ORDERS = (3, 4)
 #: A language knows the n-grams that this share of its texts hold, and two texts at least.
 COMMON = 0.01
 #: Texts are rejected below this part of the median share of the language's own texts.
 FLOOR = 0.4
-#: A language learned from fewer texts rejects nothing.
-LEAST_TEXTS = 50
 IS_LETTER = np.arange(256) >= 128
 IS_LETTER[65:91] = IS_LETTER[97:123] = True
 
 
-def gram_slots(data: np.ndarray, order: int) -> np.ndarray:
-    """Slot of the n-gram that starts at each byte; the last bytes of a block have shorter ones."""
-    padded = np.concatenate((LOWER[data], np.full(order - 1, 32, np.uint8))).astype(np.uint64)
-    n, key = len(data), np.full(len(data), order, np.uint64)
+def spaced(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of a block with spaces behind each, and the place of every byte among them.
+
+    No n-gram looks into the next row, so a text has the same n-grams in any block.
+    """
+    gap = max(ORDERS) - 1
+    place = np.arange(len(data)) + gap * np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+    out = np.full(len(data) + gap * (len(starts) - 1), 32, np.uint8)
+    out[place] = data
+    return out, place
+
+
+def gram_slots(padded: np.ndarray, place: np.ndarray, order: int) -> np.ndarray:
+    """Slot of the n-gram that starts at each byte."""
+    lowered = LOWER[padded].astype(np.uint64)
+    key = np.full(len(place), order, np.uint64)
     for i in range(order):
-        key = key << np.uint64(8) | padded[i : i + n]
+        key = key << np.uint64(8) | lowered[place + i]
     slots = (key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)
     return slots.astype(np.int64)
 
 
-def all_slots(data: np.ndarray) -> Iterator[np.ndarray]:
+def all_slots(padded: np.ndarray, place: np.ndarray) -> Iterator[np.ndarray]:
     for number, order in enumerate(ORDERS):
-        yield gram_slots(data, order) + (number << SLOT_BITS)
+        yield gram_slots(padded, place, order) + (number << SLOT_BITS)
 
 
-def lettered(data: np.ndarray, order: int) -> np.ndarray:
+def lettered(padded: np.ndarray, place: np.ndarray, order: int) -> np.ndarray:
     """Whether the n-gram that starts at each byte holds a letter."""
-    held = np.concatenate((IS_LETTER[data], np.zeros(order - 1, bool)))
-    return np.logical_or.reduce([held[i : i + len(data)] for i in range(order)])
+    held = IS_LETTER[padded]
+    return np.logical_or.reduce([held[place + i] for i in range(order)])
 
 
 @dataclass
@@ -128,8 +142,10 @@ def recognised(model: LanguageModel, names: Sequence[str], data: np.ndarray, sta
     """
     size = np.maximum(np.diff(starts), 1) * len(KNOWN_ORDERS)
     share = np.zeros((len(model.languages), len(starts) - 1))
+    padded, place = spaced(data, starts)
     for order in KNOWN_ORDERS:
-        slots, held = gram_slots(data, order) + (ORDERS.index(order) << SLOT_BITS), lettered(data, order)
+        slots = gram_slots(padded, place, order) + (ORDERS.index(order) << SLOT_BITS)
+        held = lettered(padded, place, order)
         for number in range(len(model.languages)):
             share[number] += row_sums(model.known[number][slots] & held, starts) / size
     given = np.array(model.languages, object)[:, None] == np.array(names, object)[None, :]
@@ -139,7 +155,7 @@ def recognised(model: LanguageModel, names: Sequence[str], data: np.ndarray, sta
 def margins(model: LanguageModel, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     size = np.maximum(np.diff(starts), 1)
     out = np.zeros((len(starts) - 1, len(model.machines)))
-    for slots in all_slots(data):
+    for slots in all_slots(*spaced(data, starts)):
         for machine in range(len(model.machines)):
             out[:, machine] += row_sums(model.weights[machine][slots], starts) / size
     return out / len(ORDERS)
@@ -149,10 +165,11 @@ def _shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """lang, slots, shares, own, own_shares: the n-gram shares of each text; a text has at most the
     table's slots. The last two are those of KNOWN_ORDERS with a letter, among all of these orders."""
     for batch in batches:
-        for first, end, data, starts in blocks(batch.column(1)):
-            slots = list(all_slots(data))
+        for first, end, data, starts in blocks(batch.column(1), TEXT_BLOCK):
+            padded, place = spaced(data, starts)
+            slots = list(all_slots(padded, place))
             orders = [ORDERS.index(order) for order in KNOWN_ORDERS]
-            held = [lettered(data, order) for order in KNOWN_ORDERS]
+            held = [lettered(padded, place, order) for order in KNOWN_ORDERS]
             out_slots, out_shares, out_own, out_own_shares = [], [], [], []
             for a, b in zip(starts[:-1], starts[1:], strict=True):
                 found, count = np.unique(np.concatenate([s[a:b] for s in slots]), return_counts=True)
@@ -212,64 +229,126 @@ def _odds_line(found: np.ndarray, signs: np.ndarray) -> tuple[float, float]:
 
 
 def fit_known(texts: Sequence[tuple[np.ndarray, np.ndarray]], size: int) -> tuple[np.ndarray, float]:
-    """Slots that a language knows, and the floor of the shares; each text is measured by the others."""
+    """Slots that a language knows, and the floor of the shares; each text is measured by the others.
+
+    The fewer the texts, the less their median tells, so the floor is lowered by one over the root
+    of their number, to 0 at the least.
+    """
     held = np.zeros(size, np.int64)
     for slots, _ in texts:
         held[slots] += 1
     least = max(2, math.ceil(COMMON * len(texts)))
-    if len(texts) < LEAST_TEXTS:
-        return held >= least, 0.0
-    return held >= least, FLOOR * float(np.median([shares[held[slots] > least].sum() for slots, shares in texts]))
+    median = float(np.median([shares[held[slots] > least].sum() for slots, shares in texts]))
+    return held >= least, max(0.0, FLOOR * median - len(texts) ** -0.5)
 
 
-def fit(
-    examples: list[tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]], families=FAMILIES
-) -> LanguageModel | None:
-    """The machines for (language, slots, shares, own, own_shares) examples; None without examples."""
-    examples = [e for e in examples if len(e[1])]
-    languages = sorted({e[0] for e in examples})
-    if not languages:
-        return None
+def members_of_families(languages: Sequence[str], families=FAMILIES) -> list[list[str]]:
+    """The learned languages by family; a language that is in none is a family of its own."""
     family_of = {lang: name for name, members in families.items() for lang in members}
     grouped: dict[str, list[str]] = {}
-    for lang in languages:
+    for lang in sorted(languages):
         grouped.setdefault(family_of.get(lang, f"own {lang}"), []).append(lang)
-    members = [grouped[name] for name in sorted(grouped)]
+    return [grouped[name] for name in sorted(grouped)]
+
+
+def machines_of(members: list[list[str]]) -> list[tuple]:
+    """One machine per family (one for two families), then one per pair of languages of a family."""
+    count = len(members) if len(members) > 2 else len(members) - 1
+    pairs = [("pair", a, b) for group in members for a, b in combinations(group, 2)]
+    return [("family", number, None) for number in range(count)] + pairs
+
+
+def _sides(machines: list[tuple], members: list[list[str]], lang: str) -> list[tuple[int, int]]:
+    """The machines that learn from a text of `lang`, and the side it is on."""
+    own = next(number for number, group in enumerate(members) if lang in group)
+    out = []
+    for place, (kind, a, b) in enumerate(machines):
+        if kind == "family":
+            out.append((place, 1 if own == a else -1))
+        elif lang in (a, b):
+            out.append((place, 1 if lang == a else -1))
+    return out
+
+
+#: Number of a task that fits: a machine's place, or what a language knows after all machines.
+FITTED = "job int, weights binary, slope double, shift double"
+
+
+def _fit_job(machines: int):
+    """Fits the machine or the known slots of one group of sample rows, which is bounded by the draw."""
     size = len(ORDERS) << SLOT_BITS
-    own = np.array([next(i for i, m in enumerate(members) if e[0] in m) for e in examples])
-    machines, fitted = [], []
-    for number in range(len(members) if len(members) > 2 else len(members) - 1):
-        machines.append(("family", number, None))
-        fitted.append(fit_machine([e[1:3] for e in examples], np.where(own == number, 1, -1), size))
-    for group in members:
-        for a, b in combinations(group, 2):
-            chosen = [e for e in examples if e[0] in (a, b)]
-            machines.append(("pair", a, b))
-            fitted.append(fit_machine([e[1:3] for e in chosen], np.array([1 if e[0] == a else -1 for e in chosen]), size))
-    weights = np.array([f[0] for f in fitted], np.float32).reshape(len(fitted), size)
-    slopes, shifts = np.array([f[1] for f in fitted]), np.array([f[2] for f in fitted])
-    known, floors = zip(*(fit_known([e[3:] for e in examples if e[0] == lang], size) for lang in languages), strict=True)
-    return LanguageModel(members, machines, weights, slopes, shifts, languages, np.array(known), np.array(floors))
 
+    def fitted(table: pa.Table) -> pa.Table:
+        rows = sorted(zip(*(table[c].to_pylist() for c in ("lang", "slots", "shares", "side")), strict=True))
+        job = table["job"][0].as_py()
+        held = [(np.frombuffer(slots, np.int32), np.frombuffer(shares, np.float32)) for _, slots, shares, _ in rows]
+        if job < machines:
+            weights, slope, shift = fit_machine(held, np.array([side for *_, side in rows]), size)
+            found = weights.astype(np.float32).tobytes()
+        else:
+            known, slope = fit_known(held, size)
+            found, shift = np.packbits(known).tobytes(), 0.0
+        columns = [pa.array([job], pa.int32()), pa.array([found], pa.binary()), pa.array([slope], pa.float64())]
+        # the worker lives on for other tasks
+        pa.default_memory_pool().release_unused()
+        return pa.Table.from_arrays([*columns, pa.array([shift], pa.float64())], ["job", "weights", "slope", "shift"])
+
+    return fitted
 
-def train(
-    docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", per_language: int = TEXTS_PER_LANGUAGE
-) -> LanguageModel | None:
-    """A model of the labelled rows of `docs`: about `per_language` of each language, drawn by a hash.
 
-    Null languages and texts without a letter are left out. Each drawn text is read whole.
+def train(
+    docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id",
+    per_language: int = TEXTS_PER_LANGUAGE, most_texts: int = TEXTS, families=FAMILIES,
+) -> LanguageModel | None:
+    """A model of the labelled rows of `docs`: about `per_language` of each language and about
+    `most_texts` in all, drawn by a hash; None without labelled rows that have a letter.
+
+    Null languages and texts without a letter are left out. Each drawn text is read whole. The
+    drawn texts' shares are written, and every machine is fitted in a task of its own; the driver
+    is sent the counts by language and the fitted weights only.
     """
     own = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.col(doc_id).cast("string").alias("key"))
     labelled = own.where(F.col("lang").isNotNull())
     counts = {r.lang: r.n for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    wanted = min(per_language, most_texts / max(1, len(counts)))
     share = F.lit(0.0)
     for name, n in counts.items():
-        share = F.when(F.col("lang") == name, F.lit(min(1.0, per_language / n))).otherwise(share)
+        share = F.when(F.col("lang") == name, F.lit(min(1.0, wanted / n))).otherwise(share)
     draw = F.pmod(F.xxhash64("key"), F.lit(1_000_000)) / 1e6
     drawn = labelled.where((draw < share) & F.col("text").rlike(HAS_LETTER)).select("lang", "text")
     schema = "lang string, slots binary, shares binary, own binary, own_shares binary"
-    rows, kinds = drawn.mapInArrow(_shares, schema).collect(), (np.int32, np.float32, np.int32, np.float32)
-    return fit([(r[0], *map(np.frombuffer, r[1:], kinds)) for r in sorted(rows)])
+    sample = written_table(drawn.mapInArrow(_shares, schema), "language_sample")
+    languages = sorted(r.lang for r in sample.select("lang").distinct().collect())
+    if not languages:
+        return None
+    members = members_of_families(languages, families)
+    machines = machines_of(members)
+    def part(job: int, side: int, slots: str, shares: str) -> Column:
+        return F.struct(
+            F.lit(job).alias("job"), F.lit(side).alias("side"), F.col(slots).alias("slots"), F.col(shares).alias("shares")
+        )
+
+    jobs = F.array().cast("array<struct<job:int,side:int,slots:binary,shares:binary>>")
+    for number, name in enumerate(languages):
+        held = [part(place, side, "slots", "shares") for place, side in _sides(machines, members, name)]
+        held.append(part(len(machines) + number, 1, "own", "own_shares"))
+        jobs = F.when(F.col("lang") == name, F.array(*held)).otherwise(jobs)
+    dealt = sample.select("lang", F.inline(jobs))
+    fitted = dealt.groupBy("job").applyInArrow(_fit_job(len(machines)), FITTED).collect()
+    by_job = {r.job: r for r in fitted}
+    size = len(ORDERS) << SLOT_BITS
+    first = [by_job[j] for j in range(len(machines))]
+    last = [by_job[len(machines) + number] for number in range(len(languages))]
+    return LanguageModel(
+        members,
+        machines,
+        np.array([np.frombuffer(r.weights, np.float32) for r in first], np.float32).reshape(len(machines), size),
+        np.array([r.slope for r in first]),
+        np.array([r.shift for r in first]),
+        languages,
+        np.array([np.unpackbits(np.frombuffer(r.weights, np.uint8)).astype(bool) for r in last]),
+        np.array([r.slope for r in last]),
+    )
 
 
 def identify(docs: DataFrame, model: LanguageModel | None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -290,7 +369,7 @@ def identify(docs: DataFrame, model: LanguageModel | None, doc_id: str = "doc_id
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = shared.value
         for batch in batches:
-            for first, end, data, starts in blocks(batch.column(1)):
+            for first, end, data, starts in blocks(batch.column(1), TEXT_BLOCK):
                 names, scores = [UNDETERMINED] * (end - first), np.zeros(end - first)
                 if held is not None:
                     names, scores = held.decide(margins(held, data, starts))
@@ -323,7 +402,7 @@ def keep_identified(
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = shared.value
         for batch in batches:
-            for first, end, data, starts in blocks(batch.column(place)):
+            for first, end, data, starts in blocks(batch.column(place), TEXT_BLOCK):
                 names, scores = held.decide(margins(held, data, starts))
                 stays = recognised(held, names, data, starts) & (scores >= least_score)
                 yield batch.slice(first, end - first).filter(pa.array(stays))
