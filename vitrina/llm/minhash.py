@@ -317,8 +317,11 @@ def near_duplicates(
         )
         pairs = crossing.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
         rest = written_table(pairs.distinct(), "pairs")
-        if not rest.isEmpty():
-            near = written_table(near.union(links(rest)), "links")
+        if rest.isEmpty():
+            continue
+        found = written_table(links(rest), "links")
+        if not found.isEmpty():
+            near = near.union(found)
             roots = connected(near)
 
     linked = classes.join(roots.withColumnRenamed("v", "cid"), "cid", "left").select(
