@@ -15,6 +15,7 @@ from vitrina.session import joined_in_place
 from vitrina.sources import history, snapshots, tables
 from vitrina.sources.buckets import bucketed_table
 from vitrina.sources.snapshots import load_snapshots
+from workload import sales_queries
 
 HEAD = '{{"brand":"B","currency":"ARS","scrapedAt":"2026-08-0{}T00:00:00Z","products":[{}]}}'
 
@@ -179,3 +180,12 @@ def test_buckets_survive_their_name(spark):
     table = bucketed_table(rows, "numbers_of_sevens", ["k"], ["id"], 3)
     assert table.count() == 100 and "numbers_of_sevens" not in str(spark.sql("SHOW TABLES").collect())
     assert "Exchange" not in plan(table.groupBy("k").count())
+
+
+def test_comparable_stores_reads_every_store(spark, tmp_path):
+    at = lambda month: dt.datetime(1996, month, 1)
+    lines = [(20 * i + store, at(m), 1.0, 1.0) for i, (store, m) in enumerate([(3, 1), (3, 5), (4, 1), (4, 8), (5, 1)])]
+    columns = "l_partkey long, l_shipdate timestamp, l_quantity double, l_extendedprice double"
+    spark.createDataFrame(lines, columns).write.parquet(str(tmp_path / "lineitem.parquet"))
+    got = sales_queries.comparable_stores(spark, str(tmp_path))
+    assert sorted(r.store_id for r in got.collect()) == ["3", "4"]
