@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from vitrina.operators.catalog import build_catalog
 from vitrina.plans.catalog import Captures
+from vitrina.sources.buckets import bucket_width
 from workload.snapshots import table, written_once
 
 # Columns shared by the Spark fixtures and, in SQL form, by their counterparts.
@@ -45,14 +46,20 @@ def money(value: str) -> str:
 
 
 def parts(spark: SparkSession, sf_dir: str, kind: int | None = None) -> DataFrame:
+    """A part is short and what is rendered from it is not, so the rows are dealt out first: the tasks
+    that render and read captures do not depend on how few files the parts lie in."""
     rows = table(spark, sf_dir, "part").selectExpr(*PART_COLUMNS)
-    return rows if kind is None else rows.where(F.col("pk") % 4 == kind)
+    rows = rows if kind is None else rows.where(F.col("pk") % 4 == kind)
+    return rows.repartition(bucket_width(spark), "pk", "name", "type")
 
 
 def _paged(rows: DataFrame, before: str, after: str) -> DataFrame:
     """Feed pages of at most 50 products, from rows with a `json` column."""
+    key = ["store_id", "base", "page"]
     return (
-        rows.groupBy("store_id", "base", (F.col("k") / 50).cast("bigint").alias("page"))
+        rows.withColumn("page", (F.col("k") / 50).cast("bigint"))
+        .repartition(bucket_width(rows.sparkSession), *key)
+        .groupBy(*key)
         .agg(F.array_sort(F.collect_list(F.struct("k", "json"))).alias("items"))
         .select(
             "store_id",
