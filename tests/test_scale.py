@@ -1,5 +1,6 @@
 """Plans and rankings that must hold when one key has much of the table."""
 
+import datetime as dt
 import re
 
 import pytest
@@ -10,7 +11,9 @@ from vitrina.operators.ordering import first_n, rank_in_blocks, rank_within
 from vitrina.operators.pairing import pair_deltas
 from vitrina.operators.rollups import product_totals
 from vitrina.operators.rows import join_stores, keep_computed
+from vitrina.session import joined_in_place
 from vitrina.sources import tables
+from workload import captures, ingest_queries, snapshots
 
 
 def final_plan(df):
@@ -180,3 +183,33 @@ def test_every_join_side_is_shuffled_directly(spark, conf, shop, tmp_path):
         sorts = [i for i, line in enumerate(lines) if line.startswith("Sort [")]
         assert sorts and any("SortMergeJoin" in line for line in lines)
         assert all(lines[i + 1].startswith("Exchange hashpartitioning") for i in sorts), lines
+
+
+def stored_parts(spark, at):
+    columns = "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double"
+    rows = [(i, f"part {i}", "Brand#1", "TIN", i % 9, 900.0 + i) for i in range(400)]
+    spark.createDataFrame(rows, columns).coalesce(1).write.parquet(f"{at}/part.parquet")
+    return at
+
+
+def test_captures_of_one_file_are_read_in_many_tasks(spark, conf, tmp_path):
+    conf(shuffle__partitions="7")
+    at = stored_parts(spark, str(tmp_path))
+    for made in (captures.shopify_feeds, captures.woocommerce_feeds, captures.embedded_pages, captures.structured_pages):
+        assert made(spark, at).rdd.getNumPartitions() == 7
+
+
+def test_documents_are_gathered_in_one_exchange_of_the_lines(spark, conf, tmp_path):
+    conf(autoBroadcastJoinThreshold="-1", adaptive__enabled="false")
+    at = stored_parts(spark, str(tmp_path))
+    day = lambda i: dt.datetime(1996, 1 + i % 12, 1)
+    lines = [(i % 400, day(i), 1.0 + i % 40, 10.0 + i) for i in range(900)]
+    columns = "l_partkey long, l_shipdate timestamp, l_quantity double, l_extendedprice double"
+    spark.createDataFrame(lines, columns).write.parquet(f"{at}/lineitem.parquet")
+    with joined_in_place(spark):
+        rows = snapshots.shelved_observations(spark, at)
+        assert len(re.findall(r"Exchange hashpartitioning\(store_id#\d+, part#\d+L", plan(rows))) == 2  # lines and names
+        assert "Exchange hashpartitioning(pid" not in plan(rows)
+    texts = ingest_queries.documents(spark, at).collect()
+    held = {(r.store_id, r.snap_ord): r.body.count('"pos":') for r in texts}
+    assert sum(held.values()) == len({(p, (d.month - 1) // 3) for p, d, *_ in lines}) and len(held) == len(texts)

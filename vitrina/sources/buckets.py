@@ -12,7 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vitrina.session import scratch_path
+from vitrina.session import COMPRESSION, scratch_path
 
 
 def bucket_width(spark: SparkSession) -> int:
@@ -32,7 +32,8 @@ def bucketed_table(
     buckets = buckets or bucket_width(spark)
     rows = df if dealt else df.repartition(buckets, *keys)
     table = f"vitrina_{name}_{uuid.uuid4().hex[:12]}"
-    writer = rows.write.format("parquet").option("path", scratch_path(spark, name)).bucketBy(buckets, *keys)
+    writer = rows.write.format("parquet").options(path=scratch_path(spark, name), compression=COMPRESSION)
+    writer = writer.bucketBy(buckets, *keys)
     if order:
         writer = writer.sortBy(*order)
     writer.saveAsTable(table)

@@ -11,7 +11,7 @@ from vitrina.functions.text import WS, blank_to_null
 from vitrina.operators.pairing import number_snapshots
 from vitrina.operators.rows import keep_computed
 from vitrina.schemas import PRICE, SNAPSHOT_DOCUMENT
-from vitrina.sources.buckets import bucketed_table
+from vitrina.sources.buckets import bucket_width, bucketed_table
 
 # Fixed value: the element of an HTML report that carries its dataset. Reports already
 # saved are found by this id.
@@ -80,7 +80,23 @@ def capture_time(text: Column) -> Column:
     return F.coalesce(F.timestamp_millis(millis), dated)
 
 
+def document_datasets(documents: DataFrame) -> DataFrame:
+    """Each document's place and its JSON text: the short form, in which documents are exchanged."""
+    part = F.regexp_extract("source_file", PART_SUFFIX, 1).try_cast("bigint")
+    return documents.select(
+        "store_id",
+        "source_file",
+        F.regexp_replace("source_file", PART_SUFFIX, "").alias("snapshot_id"),
+        F.coalesce(part, F.lit(0)).alias("part"),
+        dataset_text(F.col("source_file"), F.col("body")).alias("json"),
+    )
+
+
 def parse_documents(documents: DataFrame) -> DataFrame:
+    return parse_datasets(document_datasets(documents))
+
+
+def parse_datasets(datasets: DataFrame) -> DataFrame:
     """Documents with their parsed body and every problem found in each.
 
     A problem of `errors` rejects the document; `warnings` tell of values that read as unknown.
@@ -125,18 +141,15 @@ def parse_documents(documents: DataFrame) -> DataFrame:
     # Wrapping the text in brackets makes trailing characters after the document an error.
     length = F.json_array_length(F.concat(F.lit("["), F.col("json"), F.lit("]")))
     is_object = F.regexp_extract(F.col("json"), rf"^{WS}*(.)", 1) == "{"
-    part = F.regexp_extract("source_file", PART_SUFFIX, 1).try_cast("bigint")
     return (
-        documents.withColumn("json", dataset_text(F.col("source_file"), F.col("body")))
-        .drop("body")
-        .withColumn("is_json", F.coalesce((length == 1) & is_object, F.lit(False)))
+        datasets.withColumn("is_json", F.coalesce((length == 1) & is_object, F.lit(False)))
         .withColumn("doc", F.from_json("json", SNAPSHOT_DOCUMENT, {"allowSingleQuotes": "false"}))
         .withColumn("scraped_at", capture_time(F.col("doc.scrapedAt")))
         .select(
             "store_id",
             "source_file",
-            F.regexp_replace("source_file", PART_SUFFIX, "").alias("snapshot_id"),
-            F.coalesce(part, F.lit(0)).alias("part"),
+            "snapshot_id",
+            "part",
             problems.alias("errors"),
             warnings.alias("warnings"),
             "scraped_at",
@@ -249,6 +262,10 @@ def load_snapshots(documents: DataFrame) -> SnapshotTables:
     """Split documents into snapshots, their product rows, rejects and warnings.
 
     Every document is read and parsed once, into a table by document that all results come
-    from. A problem rejects the whole snapshot the document belongs to; others go on.
+    from. They are dealt as text, before the parse. A problem rejects the whole snapshot the
+    document belongs to; others go on.
     """
-    return snapshot_tables(bucketed_table(parse_documents(documents), "parsed", DOCUMENT_KEY))
+    buckets = bucket_width(documents.sparkSession)
+    dealt = document_datasets(documents).repartition(buckets, *DOCUMENT_KEY)
+    parsed = bucketed_table(parse_datasets(dealt), "parsed", DOCUMENT_KEY, buckets=buckets, dealt=True)
+    return snapshot_tables(parsed)

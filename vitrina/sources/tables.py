@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vitrina.session import COMPRESSION
+
 # Rows lie sorted by these inside a day, so row-group statistics prune a store or a
 # product without one folder per store.
 CLUSTER = ["snapshot_date", "store_id", "product_id"]
@@ -22,7 +24,7 @@ def write_observations(observations: DataFrame, path: str, mode: str = "append")
         .sortWithinPartitions(*CLUSTER)
         .write.mode(mode)
         .partitionBy("snapshot_date")
-        .parquet(path)
+        .parquet(path, compression=COMPRESSION)
     )
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vitrina.functions.dates import output_name
 from vitrina.plans import sales
-from vitrina.session import scratch_path, written_table
+from vitrina.session import joined_in_place, scratch_path, written_table
 from vitrina.sources import export
 from vitrina.sources.snapshots import load_snapshots, parse_documents
 from vitrina.sources.tables import read_observations, write_observations
@@ -16,15 +16,13 @@ from workload.captures import PART_SQL
 from workload.catalog_queries import CATALOG
 from workload.sales_queries import SNAP, SOLD_ORDER, tidy
 from workload.sales_queries import SQL as SALES_SQL
-from workload.snapshots import observations, snapshots, written_once
-
-# Parts of a store's snapshot: one per 10,000 part keys, so 500 products at most.
-PART_KEYS = 10_000
+from workload.snapshots import PART_KEYS, SHELF, shelved_observations, snapshots, written_once
 
 
 def documents(spark, sf) -> DataFrame:
     """Snapshot documents of the derived stores; every other snapshot is an HTML report."""
-    return written_once(spark, sf, "documents", lambda: _documents(spark, sf))
+    with joined_in_place(spark):
+        return written_once(spark, sf, "documents", lambda: _documents(spark, sf))
 
 
 def _documents(spark, sf) -> DataFrame:
@@ -37,11 +35,10 @@ def _documents(spark, sf) -> DataFrame:
         F.col("sold_qty").alias("soldQty"),
         "available",
     )
-    part = (F.col("pos") / PART_KEYS).cast("bigint").alias("part")
-    key = ["store_id", "snap_ord", "scraped_at", part]
+    key = [*SHELF, "snap_ord", "scraped_at"]
     header = snapshots(spark, sf).select("store_id", "snap_ord", "brand", "platform", "currency")
     rows = (
-        observations(spark, sf)
+        shelved_observations(spark, sf)
         .groupBy(*key)
         .agg(F.array_sort(F.collect_list(product)).alias("products"))
         .join(header, ["store_id", "snap_ord"])
